@@ -27,5 +27,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
+def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    from .bpe import encode_and_decode
+
+    if vocabulary_path is None:
+        import public_tokenizers
+
+        vocabulary_path = public_tokenizers.path("byte_bpe_50k.json")
+    out = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path, keep=["doc_id"])
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0)
+    model = fit_quality(docs, labels)
+    out = score_quality(docs.withColumn("held_out", _fold("doc_id", 5) == 0), model, keep=["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
 SQL: dict[str, str] = {}
