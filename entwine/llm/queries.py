@@ -48,5 +48,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import match_benchmark
+
+    out = match_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = b"replace this key in production") -> DataFrame:
+    from .pii import replace_entities
+
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return out.select("doc_id", "text", "n_entities", "entities")
+
+
+QUERIES = {"op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
 SQL: dict[str, str] = {}
