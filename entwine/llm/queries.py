@@ -62,5 +62,11 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = b"replace this key i
     return out.select("doc_id", "text", "n_entities", "entities")
 
 
-QUERIES = {"op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_minhash": op3_minhash, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
 SQL: dict[str, str] = {}
