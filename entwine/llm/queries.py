@@ -68,5 +68,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
+
+
+QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op3_minhash": op3_minhash, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
 SQL: dict[str, str] = {}
