@@ -80,5 +80,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op5_embedding_dedup": op5_embedding_dedup, "op6_suffix_dedup": op6_suffix_dedup, "op3_minhash": op3_minhash, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents, train_model
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, train_model(docs), keep=["doc_id"])
+
+
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op5_embedding_dedup": op5_embedding_dedup, "op6_suffix_dedup": op6_suffix_dedup, "op3_minhash": op3_minhash, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
 SQL: dict[str, str] = {}
