@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(col: str, n: int):
+    """crc32 of a column as text, modulo n; -1 for null."""
+    return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n)), F.lit(-1))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabularies have a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives the executors this package, once for each application; they need not have it on their path."""
     sc = spark.sparkContext
@@ -101,7 +113,9 @@ def map_text(
     ship_package(df.sparkSession)
     new = {f.name for f in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    own = text_col not in keep  # else the text travels once, as one of the columns to keep
+    src = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{text_col}`").alias("__text")] * own)
+    at = len(keep) if own else keep.index(text_col)
     schema = T.StructType([src.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +123,8 @@ def map_text(
 
         fn, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
         for b in batches:
-            for part in slices(b):
-                cols = fn(part.column(part.num_columns - 1).to_pylist())
+            for part in slices(b, column=at):
+                cols = fn(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))] + [pa.array(c, type=k) for c, k in zip(cols, kinds)],
                     names=keep + [f.name for f in fields],
@@ -119,12 +133,12 @@ def map_text(
     return src.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, column: int = -1) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with at most so many bytes (one row at least), to bound memory."""
     n = batch.num_rows
     if not n:
         return
-    col = batch.column(batch.num_columns - 1)
+    col = batch.column(column % batch.num_columns)
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0

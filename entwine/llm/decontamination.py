@@ -172,6 +172,13 @@ def match_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", i
     items are all reported. A document shorter than an item is one window. Null and empty texts match nothing.
     A column named `matches` gives way to the new one.
     """
+    out, cols = _with_matches(docs, items, text_col, item_id, item_text, threshold, items_a_pass, keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "matches"]
+    return out.select(*[F.col(f"`{c}`") for c in keep], (F.concat(*cols) if len(cols) > 1 else F.col(cols[0])).alias("matches"))
+
+
+def _with_matches(docs, items, text_col, item_id, item_text, threshold, items_a_pass, keep) -> tuple[DataFrame, list[str]]:
+    """The documents with a column of matches for each block of items, and the names of those columns."""
     known = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     passes = max(1, -(-known.count() // items_a_pass))
     out, cols = docs, []
@@ -183,11 +190,12 @@ def match_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", i
         kept = keep if keep is None else [*dict.fromkeys([*keep, text_col])] + cols
         out = map_text(out, text_col, [T.StructField(name, MATCH)], lambda shared=shared: lambda texts: [shared.value.match(texts)], kept)
         cols.append(name)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "matches"]
-    return out.select(*[F.col(f"`{c}`") for c in keep], (F.concat(*cols) if len(cols) > 1 else F.col(cols[0])).alias("matches"))
+    return out, cols
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents without a benchmark passage, with their columns."""
-    out = match_benchmark(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), items, text_col, keep=["__row"], **options)
-    return out.filter(F.size("matches") == 0).select("__row.*")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, items_a_pass: int = 20_000) -> DataFrame:
+    """The documents without a benchmark passage, with their columns; null and empty texts stay."""
+    out, cols = _with_matches(docs, items, text_col, item_id, item_text, threshold, items_a_pass, None)
+    for c in cols:
+        out = out.filter(F.size(c) == 0)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

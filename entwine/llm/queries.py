@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-
-
-def _fold(col: str, n: int):
-    return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n)), F.lit(-1))
+from .common import fold, table, tokenizer_path
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,18 +18,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit_language_model, identify
 
     docs = table(spark, sf_dir, "documents")
-    model = fit_language_model(docs.filter(_fold("doc_id", 4) != 2))
-    out = identify(docs.withColumn("held_out", _fold("doc_id", 4) == 2), model, keep=["doc_id", "held_out"])
+    model = fit_language_model(docs.filter(fold("doc_id", 4) != 2))
+    out = identify(docs.withColumn("held_out", fold("doc_id", 4) == 2), model, keep=["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     from .bpe import encode_and_decode
 
-    if vocabulary_path is None:
-        import public_tokenizers
-
-        vocabulary_path = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary_path = vocabulary_path or tokenizer_path("byte_bpe_50k.json")
     out = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path, keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -42,9 +35,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0)
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
     model = fit_quality(docs, labels)
-    out = score_quality(docs.withColumn("held_out", _fold("doc_id", 5) == 0), model, keep=["doc_id", "held_out"])
+    out = score_quality(docs.withColumn("held_out", fold("doc_id", 5) == 0), model, keep=["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
@@ -87,5 +80,17 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train_model(docs), keep=["doc_id"])
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op5_embedding_dedup": op5_embedding_dedup, "op6_suffix_dedup": op6_suffix_dedup, "op3_minhash": op3_minhash, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id}
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_sharding": op2_sharding,
+    "op3_minhash": op3_minhash,
+    "op4_bpe": op4_bpe,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality": op7_quality,
+    "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
+}
+
 SQL: dict[str, str] = {}
