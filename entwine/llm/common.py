@@ -149,6 +149,21 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, column: int = -1) -
         start = stop
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Groups of rows with equal (long or int) keys from sorted batches; a group may run over several batches."""
+    held: list[pa.Table] = []
+    for b in batches:
+        table = pa.concat_tables([*held, pa.Table.from_batches([b])])
+        key = np.stack([table.column(c).to_numpy() for c in keys], 1)
+        start = 0
+        for end in (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist():
+            yield table.slice(start, end - start), key[start]
+            start = end
+        held = [table.slice(start)]
+    if held and held[0].num_rows:
+        yield held[0], np.array([held[0].column(c)[0].as_py() for c in keys])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of the unsigned 64-bit integers that spreads every bit (finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))

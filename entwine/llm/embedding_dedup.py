@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, staged
+from .common import ship_package, staged, whole_groups
 from .components import connected_components
 
 BLOCK = 1024
@@ -161,48 +161,19 @@ def _spread(signs: dict[int, np.ndarray], double: bool):
 
 def _blocks(double: bool, tables: int, least: float):
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table, last: bool):
-            """Whole groups of rows with equal keys; the last one may go on in the next batch."""
-            key = np.stack([table.column(c).to_numpy() for c in ("dim", "t", "bucket", "b1", "b2")], 1)
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            ends = [*cut.tolist(), *([len(key)] if last else [])]
-            start = 0
-            for e in ends:
-                yield table.slice(start, e - start), key[start]
-                start = e
-            if not last:
-                held.append(table.slice(start))
-
-        def work(table: pa.Table, last: bool):
-            out_id, out_n, out_c = [], [], []
-            for rows, (_, t, bucket, b1, b2) in groups(table, last):
-                if rows.num_rows < 2:
-                    continue
-                ids = rows.column("id").to_numpy()
-                own = rows.column("own").to_numpy()
-                left = np.flatnonzero(own == b1)
-                right = left if b1 == b2 else np.flatnonzero(own == b2)
-                if not len(left) or not len(right):
-                    continue
-                codes = np.stack([np.frombuffer(c, np.int64) for c in rows.column("codes").to_pylist()]).reshape(len(ids), tables, 1 + PROBES)
-                if not (codes[:, t, 0] == bucket).any():
-                    continue
-                links, label = compare(ids, _unit(rows.column("vec").to_pylist(), double), rows.column("size").to_numpy().astype(float), codes, left, right, int(t), int(bucket), least)
-                hit = np.flatnonzero(links > 0)
-                out_id.append(ids[hit])
-                out_n.append(links[hit])
-                out_c.append(label[hit])
-            if out_id:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_n).astype(np.int64)), pa.array(np.concatenate(out_c))], names=["id", "links", "low"])
-
-        for b in batches:
-            table = pa.Table.from_batches([*[x for h in held for x in h.to_batches()], b])
-            held.clear()
-            yield from work(table, False)
-        if held:
-            yield from work(pa.concat_tables(held), True)
+        for rows, (_, t, bucket, b1, b2) in whole_groups(batches, ("dim", "t", "bucket", "b1", "b2")):
+            if rows.num_rows < 2:
+                continue
+            ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
+            left = np.flatnonzero(own == b1)
+            right = left if b1 == b2 else np.flatnonzero(own == b2)
+            codes = np.stack([np.frombuffer(c, np.int64) for c in rows.column("codes").to_pylist()]).reshape(len(ids), tables, 1 + PROBES)
+            if not len(left) or not len(right) or not (codes[:, t, 0] == bucket).any():
+                continue
+            links, label = compare(ids, _unit(rows.column("vec").to_pylist(), double), rows.column("size").to_numpy().astype(float), codes, left, right, int(t), int(bucket), least)
+            hit = np.flatnonzero(links > 0)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(label[hit])], names=["id", "links", "low"])
 
     return run
 

@@ -6,18 +6,21 @@ place, so no permutation is stored.
 
 Texts with equal shingle sets make a class; all further work is on one representative of each. Documents that
 share a band are compared with the smallest one of their bucket first; only where a bucket still holds
-several components are its other pairs looked at, after a filter by set sizes and signature sketches. So a large
-group of copies costs a few pairs for each member, and no pair between components goes unchecked.
+several components are its other pairs looked at. In a bucket of up to CROWD members these are pairs that pass a
+filter by set sizes and signature sketches; in a larger one exact intersections come from products of incidence
+matrices, block by block, of which only the links between components leave the task. So a large group of copies
+costs a few rows for each member, and no pair between components goes unchecked.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, exact_shingles, map_text, mix, ship_package, staged
+from .common import U64, exact_shingles, map_text, mix, ship_package, staged, whole_groups
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -27,6 +30,9 @@ SHIFTS = (np.arange(COORDS, dtype=np.uint64) * U64(int(STEP)) & U64(0xFFFFFFFF))
 SKETCH_WORDS = COORDS * 2 // 64
 #: Least number of equal 2-bit coordinates: pairs at similarity 0.75 reach 104 of 128 on average, deviation 4.4.
 SKETCH_LEAST = 82
+CROWD = 16
+BLOCK = 512
+COLUMNS = 8192
 
 
 def first_permutation(x: np.ndarray) -> np.ndarray:
@@ -78,8 +84,6 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     ship_package(pairs.sparkSession)
 
     def run(batches):
-        import pyarrow as pa
-
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             keep_a, keep_b = [], []
@@ -100,6 +104,69 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left with right sets."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shingle, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # a shingle of one set alone counts nowhere
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    member, column = member[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    for c in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [c, c + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[member[a:b], column[a:b] - c] = 1
+        out += x[left] @ x[right].T
+    return out
+
+
+def _cross(percent: int):
+    """Links between components in blocks of crowded buckets: each component with the smallest it reaches there."""
+
+    def run(batches):
+        for rows, (_, b1, b2) in whole_groups(batches, ("key", "b1", "b2")):
+            own, component = rows.column("own").to_numpy(), rows.column("component").to_numpy()
+            left = np.flatnonzero(own == b1)
+            right = left if b1 == b2 else np.flatnonzero(own == b2)
+            if not len(left) or not len(right) or component.min() == component.max():
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets], np.float64)
+            common = intersections(sets, left, right).astype(np.float64)
+            i, j = np.nonzero((100 * common >= percent * (n[left][:, None] + n[right] - common)) & (component[left][:, None] != component[right]))
+            names, place = np.unique(component, return_inverse=True)
+            i, j = place[left[i]], place[right[j]]
+            low = np.arange(len(names))
+            while len(i):
+                new = low.copy()
+                least = np.minimum(low[i], low[j])
+                np.minimum.at(new, i, least)
+                np.minimum.at(new, j, least)
+                if (new == low).all():
+                    break
+                low = new
+            hit = np.flatnonzero(low != np.arange(len(names)))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(names[low[hit]])], names=["a", "b"])
+
+    return run
+
+
+def _crowded_links(crowded: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """crowded: key, n (members of the bucket), id, component."""
+    members = crowded.select("id").distinct()
+    sets = map_text(texts.join(members, "id", "left_semi"), "text", [T.StructField("shingles", T.BinaryType())], lambda: lambda texts: [[exact_shingles(t).tobytes() for t in texts]], keep=["id"])
+    sets = staged(sets, "minhash_sets")
+    placed = crowded.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("key", "id", "component", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2")).join(sets, "id")
+    keys = ["key", "b1", "b2"]
+    return placed.select(*keys, "own", "component", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id for each row.
 
@@ -123,12 +190,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = staged(base.join(members, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash_texts")
     links = staged(_verify(star, texts, percent), "minhash_links")
 
-    # Buckets that still hold several components: all their pairs that the filters pass.
+    # Buckets that still hold several components: all their pairs between components.
     label = staged(connected_components(links, "a", "b"), "minhash_label")
     member = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "bands", "sketch", F.coalesce("component", "id").alias("component"))
     placed = member.select("id", "n_shingles", "sketch", "component", F.explode("bands").alias("key")).join(buckets.select("key"), "key")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    x = staged(placed.join(mixed, "key"), "minhash_mixed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    unsettled = staged(placed.join(staged(mixed, "minhash_mixed_keys"), "key"), "minhash_mixed")
+    x = unsettled.filter(F.col("n") <= CROWD).drop("n")
     y = x.select("key", *[F.col(c).alias(f"{c}_y") for c in x.columns if c != "key"])
     even = F.lit(0x5555555555555555)
     differ = None
@@ -139,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = (F.col("component") < F.col("component_y")) & fits(F.col("n_shingles"), F.col("n_shingles_y")) & (differ <= COORDS - SKETCH_LEAST)
     more = x.join(y, (x["key"] == y["key"]) & close).groupBy(F.greatest("id", "id_y").alias("a"), F.least("id", "id_y").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     more = staged(more.join(star, ["a", "b"], "left_anti"), "minhash_more")
-    links2 = _verify(more, texts, percent).unionByName(links)
+    across = _crowded_links(unsettled.filter(F.col("n") > CROWD).select("key", "n", "id", "component"), texts, percent)
+    links2 = _verify(more, texts, percent).unionByName(links).unionByName(across)
     final = staged(connected_components(links2, "a", "b"), "minhash_components")
 
     by_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
