@@ -5,7 +5,7 @@ argument by k steps, gives coordinate k of the signature. Both are bijections of
 place, so no permutation is stored.
 
 Texts with equal shingle sets make a class; all further work is on one representative of each. Documents that
-share a band are compared with the smallest one of their bucket first; only where a bucket still holds
+share a band are compared with the smallest one of a bucket first; only where a bucket still holds
 several components are its other pairs looked at. In a bucket of up to CROWD members these are pairs that pass a
 filter by set sizes and signature sketches; in a larger one exact intersections come from products of incidence
 matrices, block by block, of which only the links between components leave the task. So a large group of copies
@@ -104,6 +104,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _best(star: DataFrame) -> DataFrame:
+    """For each a the b with most bands in common, the smaller one of equals."""
+    return star.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
+
+
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of left with right sets."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -184,11 +189,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = staged(spread.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n_shingles", "id").alias("lead_n"), F.count("*").alias("size")).filter("size > 1"), "minhash_buckets")
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
     star = spread.join(buckets, "key").filter((F.col("id") != F.col("lead")) & fits(F.col("n_shingles"), F.col("lead_n")))
-    star = staged(star.groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "minhash_star")
+    star = staged(star.groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("bands")), "minhash_star")
     # Texts of all members of shared buckets, once: the checks below shuffle these alone, not the whole corpus.
     members = spread.join(buckets.select("key"), "key").select(F.col("id").alias("doc_id")).distinct()
     texts = staged(base.join(members, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash_texts")
-    links = staged(_verify(star, texts, percent), "minhash_links")
+    # Each member meets the leader that it shares most bands with; then, if still apart, the next such leader.
+    links = staged(_verify(_best(star), texts, percent), "minhash_links")
+    label = staged(connected_components(links, "a", "b"), "minhash_label")
+    apart = star.join(_best(star), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        own = label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        apart = apart.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    second = staged(_verify(_best(apart.filter("of_a <> of_b")), texts, percent), "minhash_links")
+    links = links.unionByName(second)
 
     # Buckets that still hold several components: all their pairs between components.
     label = staged(connected_components(links, "a", "b"), "minhash_label")
@@ -206,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         differ = n if differ is None else differ + n
     close = (F.col("component") < F.col("component_y")) & fits(F.col("n_shingles"), F.col("n_shingles_y")) & (differ <= COORDS - SKETCH_LEAST)
     more = x.join(y, (x["key"] == y["key"]) & close).groupBy(F.greatest("id", "id_y").alias("a"), F.least("id", "id_y").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    more = staged(more.join(star, ["a", "b"], "left_anti"), "minhash_more")
+    more = staged(more, "minhash_more")
     across = _crowded_links(unsettled.filter(F.col("n") > CROWD).select("key", "n", "id", "component"), texts, percent)
     links2 = _verify(more, texts, percent).unionByName(links).unionByName(across)
     final = staged(connected_components(links2, "a", "b"), "minhash_components")
