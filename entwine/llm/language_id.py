@@ -21,6 +21,7 @@ from .common import map_text
 BITS = 12
 BUCKETS = 1 << BITS
 GRAMS = (2, 3, 4)
+PAD = max(GRAMS) - 1
 UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.zeros(256, bool)
@@ -33,8 +34,11 @@ def has_letters(text: str | None) -> bool:
 
 
 def gram_codes(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket of the n-gram at each byte, one array for each n, and where each text begins (one end more)."""
-    parts = [b" " + (t or "").lower().encode("utf-8", "replace") + b"   " for t in texts]
+    """Bucket of the n-gram at each byte, one array for each n, and where each text begins (one end more).
+
+    Grams that begin in the last PAD places of a text reach into the next one and are not to be used.
+    """
+    parts = [b" " + (t or "").lower().encode("utf-8", "replace") + b" " * PAD for t in texts]
     starts = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=starts[1:])
     b = np.frombuffer(b"".join(parts), np.uint8)
@@ -49,7 +53,7 @@ def gram_codes(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
 
 def histogram(text: str | None) -> bytes:
     codes, _ = gram_codes([text])
-    return sum(np.bincount(c, minlength=BUCKETS) for c in codes).astype(np.float32).tobytes()
+    return sum(np.bincount(c[:-PAD], minlength=BUCKETS) for c in codes).astype(np.float32).tobytes()
 
 
 @dataclass
@@ -64,15 +68,16 @@ class LanguageModel:
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         codes, starts = gram_codes(texts)
-        sums = sum(np.add.reduceat(self.scores[c], starts[:-1], axis=0) for c in codes)
-        z = (sums / (len(GRAMS) * np.diff(starts))[:, None] + self.bias) / self.temperature
+        own = np.stack([starts[:-1], starts[1:] - PAD], 1).ravel()
+        sums = sum(np.add.reduceat(self.scores[c], own, axis=0)[::2] for c in codes)
+        z = (sums / (len(GRAMS) * (np.diff(starts) - PAD))[:, None] + self.bias) / self.temperature
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best, top = p.argmax(1), p.max(1)
         ok = [has_letters(t) for t in texts]
         return (
             [self.langs[k] if o else UNKNOWN for k, o in zip(best, ok)],
-            [float(s) if o else 0.0 for s, o in zip(top, ok)],
+            [round(float(s), 6) if o else 0.0 for s, o in zip(top, ok)],
             [bool(o and s >= self.least) for s, o in zip(top, ok)],
         )
 

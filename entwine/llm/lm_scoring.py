@@ -227,12 +227,13 @@ def score_documents(docs: DataFrame, model: WindowModel, text_col: str = "text",
     """Adds n_tokens, log_prob (sum over all tokens of a text) and mean_log_prob.
 
     Null and empty texts and texts without words have no tokens, log_prob 0 and mean_log_prob null. Rows are
-    independent: repeated rows get equal scores. Input columns named like the new ones give way to them.
+    independent: repeated rows get equal scores, up to rounding in single precision. Input columns named like the new ones give way to them.
     """
 
     def make():
         def run(texts):
             sums, n = model.score(texts)
+            sums = sums.round(3)
             return [n.tolist(), sums.tolist(), [s / k if k else None for s, k in zip(sums.tolist(), n.tolist())]]
 
         return run

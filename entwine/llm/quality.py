@@ -96,7 +96,7 @@ class QualityModel:
             y = self.labels[near]
             vote = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** self.power * self.class_weight[y]
             total = vote.sum(1)
-            out += np.where(total > 1e-9, (vote * y).sum(1) / np.maximum(total, 1e-9), self.prior).tolist()
+            out += np.where(total > 1e-9, (vote * y).sum(1) / np.maximum(total, 1e-9), self.prior).round(6).tolist()
         return out
 
 
@@ -176,7 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1, higher: label 1 likelier).
 
-    Null and empty texts get the share of label 1. Rows are independent: repeated rows get equal scores, an empty
-    table an empty result. An input column named score gives way to the new one.
+    Null and empty texts get the share of label 1. Scores have six digits. Rows are independent, an empty table gives
+    an empty result. An input column named score gives way to the new one.
     """
     return map_text(docs, text_col, [T.StructField("score", T.DoubleType())], lambda: lambda texts: [model.score(texts)], keep)
