@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table, tokenizer_path
+from .oracle import SQL  # noqa: F401
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +93,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
 }
-
-SQL: dict[str, str] = {}
