@@ -66,7 +66,7 @@ BLOCKED = f"blocked AS (SELECT *, CASE WHEN {KEY} = '' THEN 'default' ELSE md5({
 
 # Comparators.
 def rule(a: str, b: str, score: str) -> str:
-    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {score} END"
+    return f"(CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {score} END)::DOUBLE"
 
 
 def tokens(x: str) -> str:
