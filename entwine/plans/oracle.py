@@ -245,7 +245,7 @@ def build() -> dict[str, str]:
     out["sim_phone"] = with_(ENTS, PAIRS) + f"SELECT id_a, id_b, round({phone('phone_a', 'phone_b')}, 6) AS score FROM pairs"
     out["sim_zip"] = with_(ENTS, PAIRS) + f"SELECT id_a, id_b, round({zipcode('zip_a', 'zip_b')}, 6) AS score FROM pairs"
     jn = jaro_ctes("SELECT name_a AS a, name_b AS b FROM pairs", "j")
-    for key, col in (("sim_jaro", "jaro"), ("sim_jaro_winkler", "jw"), ("sim_jaro_native", "jaro")):
+    for key, col in (("sim_jaro", "jaro"), ("sim_jaro_winkler", "jw")):
         out[key] = with_(ENTS, PAIRS, jn, recursive=True) + f"SELECT id_a, id_b, round({col}, 6) AS score FROM pairs JOIN j ON a = name_a AND b = name_b"
     for key, make in (("sim_name", name_scores), ("sim_address", address_scores), ("sim_email", email_scores)):
         ctes, last = make()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import similarity as S
-from ..functions.jaro import native_jaro
 from ..functions.vector import check_dimension, cosine, mock_embedding
 from ..operators import blocking as B
 from ..operators import groups as G
@@ -94,7 +93,6 @@ def _compared(name: str, fn, field: str):
 _compared("sim_exact", S.exact, "name")
 _compared("sim_case_insensitive", S.case_insensitive, "name")
 _compared("sim_jaro", S.jaro_similarity, "name")
-_compared("sim_jaro_native", native_jaro, "name")
 _compared("sim_jaro_winkler", S.jaro_winkler_similarity, "name")
 _compared("sim_levenshtein", S.levenshtein_similarity, "name")
 _compared("sim_jaccard", S.jaccard, "name")
