@@ -132,6 +132,7 @@ def _next_round(round_: int):
 def _judge(rows: DataFrame, round_: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows whose strings all repeat, and rows for the next round: one for each hull of a core with several."""
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("hull").alias("h_min"), F.max("hull").alias("h_max")).filter("n > 1").drop("n")
+    shared = staged(shared, f"suffix_keys_{round_}")  # a table of its own, so that the join can split hot keys
     left = staged(rows.join(shared, "key"), f"suffix_shared_{round_}")
     even = left.filter("h_min = h_max")
     uneven = left.filter("h_min < h_max")
