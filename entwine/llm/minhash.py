@@ -188,11 +188,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
     buckets = staged(spread.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n_shingles", "id").alias("lead_n"), F.count("*").alias("size")).filter("size > 1"), "minhash_buckets")
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    star = spread.join(buckets, "key").filter((F.col("id") != F.col("lead")) & fits(F.col("n_shingles"), F.col("lead_n")))
+    # Rows of shared buckets, once: they are few, and all further steps start from them.
+    shared = staged(spread.join(buckets, "key"), "minhash_shared")
+    star = shared.filter((F.col("id") != F.col("lead")) & fits(F.col("n_shingles"), F.col("lead_n")))
     star = staged(star.groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("bands")), "minhash_star")
     # Texts of all members of shared buckets, once: the checks below shuffle these alone, not the whole corpus.
-    members = spread.join(buckets.select("key"), "key").select(F.col("id").alias("doc_id")).distinct()
-    texts = staged(base.join(members, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash_texts")
+    # A merge join whatever the size: the plan stays the same when the members outgrow a broadcast.
+    members = shared.select(F.col("id").alias("doc_id")).distinct()
+    texts = staged(base.join(members.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash_texts")
     # Each member meets the leader that it shares most bands with; then, if still apart, the next such leader.
     links = staged(_verify(_best(star), texts, percent), "minhash_links")
     label = staged(connected_components(links, "a", "b"), "minhash_label")
@@ -205,8 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets that still hold several components: all their pairs between components.
     label = staged(connected_components(links, "a", "b"), "minhash_label")
-    member = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "bands", "sketch", F.coalesce("component", "id").alias("component"))
-    placed = member.select("id", "n_shingles", "sketch", "component", F.explode("bands").alias("key")).join(buckets.select("key"), "key")
+    member = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("component"))
+    placed = shared.select("id", "key").join(member, "id")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
     unsettled = staged(placed.join(staged(mixed, "minhash_mixed_keys"), "key"), "minhash_mixed")
     x = unsettled.filter(F.col("n") <= CROWD).drop("n")
