@@ -43,7 +43,7 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")),
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:[a-z_]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key))[\"']?\s*[=:]\s*[\"']?(?P<v>[^\s\"'<>,;]{6,})")),
+    ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<v>[^\s\"'<>,;]{6,})")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)", re.A)),
@@ -53,7 +53,17 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("name", re.compile(rf"(?<!\w)(?P<h>{_TITLES})(?:\.[  ]?|[  ])(?P<v>[^\W\d_a-z][^\W\d_]+(?:[  -][^\W\d_a-z][^\W\d_]+){{0,2}})(?!\w)")),
 ]
 _DIGITS = {"phone", "ssn", "card"}
-_hint = re.compile(rf"[0-9@]|BEGIN|(?i:passw|secret|token|pwd)|(?<!\w)(?:{_TITLES})(?!\w)")
+_digit_or_at = re.compile(r"[0-9@]")
+# What a text without digits and @ needs to hold an entity.
+_signs = [*_GENDER, "PRIVATE KEY"]
+_key_signs = ("token", "secret", "passw", "pwd", "key")
+
+
+def hints(text: str) -> bool:
+    """Cheap test that only texts without entities fail."""
+    if _digit_or_at.search(text) or any(s in text for s in _signs):
+        return True
+    return ("=" in text or ":" in text) and any(s in low for low in [text.lower()] for s in _key_signs)
 
 
 def luhn(digits: str) -> int:
@@ -80,7 +90,7 @@ def canonical(kind: str, text: str) -> str:
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """Entities of a text: start, end, kind (names with their gender), without overlaps, in order."""
-    if not text or not _hint.search(text):
+    if not text or not hints(text):
         return []
     taken: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS:
@@ -139,11 +149,11 @@ def script_of(value: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The canonical form of the replacement; differs from the value."""
+    """The canonical form of the replacement; differs from the value, and names share no word with it."""
     for turn in range(1000):
         s = _stream(key, kind, value, attempt * 1000 + turn)
         out = _draw(key, s, kind, value, attempt)
-        if out != value:
+        if out != value and not (kind.startswith("name") and set(out.split(" ")) & set(value.split(" "))):
             return out
     return out
 
@@ -264,7 +274,7 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", most_b
     Entities that had to draw again are few; up to most_broadcast of them go to the executors as a dictionary.
     Beyond that each document gets its own through a join on the hash of its text.
     """
-    again = staged(draw_again(entity_table(docs, text_col), key), "pii_attempts")
+    again = staged(draw_again(staged(entity_table(docs, text_col), "pii_entities"), key), "pii_attempts")
     n = again.count()
     cols = [c for c in docs.columns if c not in ("n_entities", "entities")]
     fields = [T.StructField("__new", T.StringType()), T.StructField("entities", NOTES)]
