@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,6 +103,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 label = f"name_{_GENDER[m['h']]}"
             elif kind == "iban" and not iban_ok(canonical(kind, value)):
                 continue
+            elif kind == "secret" and not any(c.isalnum() for c in value):  # a mask, such as ******
+                continue
             taken.append((a, b, label))
     taken.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
@@ -129,7 +132,7 @@ def _pick(stream: Iterator[int], n: int) -> int:
 
 
 def _like(c: str, s: Iterator[int], hexa: bool) -> str:
-    """A character of the same kind and case; letters of other scripts stay in the script's block."""
+    """A character of the same kind and case; letters of other scripts stay in the script's block if it has more."""
     if c.isdigit() and c.isascii():
         return str(_pick(s, 10))
     if "a" <= c <= "z":
@@ -141,7 +144,10 @@ def _like(c: str, s: Iterator[int], hexa: bool) -> str:
             d = chr(ord(c) // 32 * 32 + _pick(s, 32))
             if d.isalpha() and d.isupper() == c.isupper():
                 return d
-    return c
+        return chr(97 + _pick(s, 26))
+    if c.isdecimal():
+        return chr(ord(c) - unicodedata.decimal(c) + _pick(s, 10))
+    return str(_pick(s, 10)) if c.isalnum() else c
 
 
 def script_of(value: str) -> str:
@@ -159,50 +165,57 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
 
 
 def _draw(key: bytes, s: Iterator[int], kind: str, value: str, attempt: int) -> str:
+    more = attempt // 8  # small spaces run out: from attempt 8 on, surrogates get longer
+    letters = lambda: "".join(chr(97 + _pick(s, 26)) for _ in range(more))
     if kind == "ip":
-        return ".".join(str(1 + _pick(s, 254)) for _ in range(4))
+        return ".".join(str(1 + _pick(s, 254)) for _ in range(4 + more))
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         host, top = domain.rsplit(".", 1)
-        d = _stream(key, "domain", domain, 0)  # one surrogate for all addresses of a domain
-        return "".join(_like(c, s, False) for c in local) + "@" + "".join(_like(c, d, False) for c in host) + "." + top
+        for turn in range(100):
+            d = _stream(key, "domain", domain, turn)  # one surrogate for all addresses of a domain
+            new = "".join(_like(c, d, False) for c in host)
+            if new != host:
+                break
+        return "".join(_like(c, s, False) for c in local) + letters() + "@" + new + "." + top
     if kind in ("phone", "ssn", "card"):
         hold = 1 if kind == "card" else max(0, len(value) - 10) if kind == "phone" else 0
-        out = value[:hold] + "".join(str(_pick(s, 10)) if i else str(2 + _pick(s, 8)) for i in range(len(value) - hold))
+        out = value[:hold] + "".join(str(_pick(s, 10)) if i else str(2 + _pick(s, 8)) for i in range(len(value) - hold + more))
         if kind == "card" and luhn(value) == 0:
             out = next(out[:-1] + str(c) for c in range(10) if luhn(out[:-1] + str(c)) == 0)
         return out
     if kind == "iban":
-        body = "".join(_like(c, s, False) for c in value[4:])
+        body = "".join(_like(c, s, False) for c in value[4:]) + "".join(str(_pick(s, 10)) for _ in range(more))
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
     if kind.startswith("name"):
         script = script_of(value)
         words = value.split(" ")
         if script == "other":
-            return " ".join("".join(_like(c, s, False) for c in w) for w in words)
+            return " ".join("".join(_like(c, s, False) for c in w) for w in words) + letters()
         gender = kind[-1] if kind[-1] in "mf" else "mf"[_pick(s, 2)]
         first, last = FIRST[gender, script], LAST[script]
         out = [first[_pick(s, len(first))] for _ in words[:-1]] + [last[_pick(s, len(last))]]
-        if attempt >= 8:  # the lists are small: double names when they run out
-            out[-1] += "-" + "".join(last[_pick(s, len(last))] for _ in range(attempt // 8))
+        if more:  # the lists are small: double names when they run out
+            out[-1] += "-" + "".join(last[_pick(s, len(last))] for _ in range(more))
         return " ".join(out).casefold()
     start = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-", value)
     hold = start.end() if start else 0
     hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None
     if kind == "private_key":
         a, b = value.index("-----", 10) + 5, value.rindex("-----END")
-        return value[:a] + "".join(_like(c, s, False) for c in value[a:b]) + value[b:]
-    return value[:hold] + "".join(_like(c, s, hexa) for c in value[hold:])
+        return value[:a] + "".join(_like(c, s, False) for c in value[a:b]) + letters() + value[b:]
+    return value[:hold] + "".join(_like(c, s, hexa) for c in value[hold:]) + "".join("abcdef"[_pick(s, 6)] if hexa else chr(97 + _pick(s, 26)) for _ in range(more))
 
 
 def render(kind: str, mention: str, value: str) -> str:
     """Writes a canonical surrogate in the format of a mention."""
     if kind in _DIGITS or kind == "iban":
         rest = iter(value)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
     if kind == "email":
-        return "".join(v.upper() if m.isupper() else v for m, v in zip(mention, value))
+        parts = zip(mention.rsplit("@", 1), value.rsplit("@", 1))
+        return "@".join("".join(v.upper() if m.isupper() else v for m, v in zip(a.ljust(len(b)), b)) for a, b in parts)
     if kind.startswith("name"):
         seps = re.findall(r"[\s -]+", mention)
         words = [w.upper() if len(mention) > 1 and mention.isupper() else "-".join(x[:1].upper() + x[1:] for x in w.split("-")) for w in value.split(" ")]
@@ -234,11 +247,12 @@ def entity_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(F.explode("entities").alias("e")).select("e.kind", "e.value").groupBy("kind", "value").agg(F.lit(1).alias("one")).select("kind", "value")
 
 
-def draw_again(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
+def draw_again(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, value, attempt of the entities that do not keep their first surrogate: attempts until all are distinct.
 
     In each round an entity keeps its draw if it is no real entity's value and no smaller value of the kind drew
-    the same. Draws of one round see those kept before as taken.
+    the same. Draws of one round see those kept before as taken. The space of draws grows with the attempts, so the
+    rounds come to an end.
     """
     ship_package(entities.sparkSession)
 
@@ -252,7 +266,7 @@ def draw_again(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
     kinds = F.when(F.col("kind").startswith("name"), F.lit("name")).otherwise(F.col("kind"))
     real = entities.select(kinds.alias("group"), F.col("value").alias("new")).distinct().withColumn("real", F.lit(True))
     now = staged(drawn(entities.withColumn("attempt", F.lit(0))).withColumn("group", kinds), "pii_draws")
-    for _ in range(rounds):
+    while True:
         first = now.groupBy("group", "new").agg(F.min(F.struct("attempt", "value", "kind")).alias("first"))
         judged = now.join(first, ["group", "new"]).join(real, ["group", "new"], "left")
         bad = judged.filter(F.col("real").isNotNull() | (F.struct("attempt", "value", "kind") > F.col("first")))
@@ -261,8 +275,6 @@ def draw_again(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
             break
         rest = now.join(bad.select("kind", "value"), ["kind", "value"], "left_anti")
         now = staged(rest.select("kind", "value", "attempt", "new", "group").unionByName(drawn(bad).select("kind", "value", "attempt", "new", "group")), "pii_draws")
-    else:
-        raise RuntimeError("surrogates still collide; give the kinds concerned a larger space")
     return now.filter("attempt > 0").select("kind", "value", "attempt")
 
 
