@@ -56,7 +56,7 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
 _DIGITS = {"phone", "ssn", "card"}
 _digit_or_at = re.compile(r"[0-9@]")
 # What a text without digits and @ needs to hold an entity.
-_signs = [*_GENDER, "PRIVATE KEY"]
+_signs = [*_GENDER, "PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox"]
 _key_signs = ("token", "secret", "passw", "pwd", "key")
 
 
