@@ -1,13 +1,16 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are the frequent words, counted over the whole corpus, and hashed endings of all others. For each token the
-embeddings of its WINDOW neighbours on either side, the token itself left out, are averaged; a layer
-predicts the token's group, a second one, which also sees the group, its place there. The sum of the conditional
-log-probabilities of all tokens is the score of a document.
+Tokens are all words that occur MIN_COUNT times in the corpus (the WORDS commonest at least), and hashed endings of
+the others, a third as many; so the vocabulary grows with the corpus. For each token the embeddings of its WINDOW
+neighbours on either side, the token itself left out, are averaged; a layer predicts the token's group, a second
+one, which also sees the group, its place there. Frequent tokens have a place of their own, the others share one with
+as many as there are groups, and a third layer tells them apart. The sum of the conditional log-probabilities of all
+tokens is the score of a document.
 
 Training covers all documents. In each round every task trains a copy of the network on its documents of that
-round by Adagrad in numpy; the copies are averaged, weighted by their tokens, and the average starts the next
-round. The driver only sees the average: its size depends on the model alone.
+round by Adagrad in numpy; the rows of weights that moved are averaged, weighted by their tokens (embeddings by the
+occurrences of their word), and the average starts the next round. The driver only sees the average: its size
+depends on the model alone.
 """
 
 from __future__ import annotations
@@ -29,30 +32,64 @@ WORDS = VOCAB - ENDINGS
 WINDOW = 2
 DIM = 16
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
-# Rows of DIM numbers: embeddings (with one for the border), group layer, group embeddings, place layer, biases.
-PARTS = {"emb": (VOCAB + 1, DIM), "w1": (GROUPS, DIM), "grp": (GROUPS, DIM), "w2": (GROUPS, DIM), "b1": (GROUPS,), "b2": (GROUPS, GROUPS)}
-SIZES = {k: int(np.prod(s)) for k, s in PARTS.items()}
-ROWS = sum(SIZES.values()) // DIM
+# Occurrences that give a word a token of its own.
+MIN_COUNT = 256
+# Rows of weights travel packed, in so many parts.
+BLOCKS = 128
 
 
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Shape:
+    """Groups (and places of each), and how many of the last places are shared by as many tokens as there are groups."""
+
+    groups: int = GROUPS
+    shared: int = 0
+
+    @property
+    def vocab(self) -> int:
+        return self.groups * self.groups + self.shared * (self.groups - 1)
+
+    @property
+    def parts(self) -> dict[str, tuple[int, ...]]:
+        """Rows of DIM numbers: embeddings (with one for the border), group layer, group embeddings, place layer, biases; those of shared places."""
+        g, v, t = self.groups, self.vocab, self.shared
+        out = {"emb": (v + 1, DIM), "w1": (g, DIM), "grp": (g, DIM), "w2": (g, DIM), "b1": (g,), "b2": (g, g)}
+        return out | {"slot": (t, DIM), "w3": (g if t else 0, DIM), "b3": (t, g)}
+
+    @property
+    def rows(self) -> int:
+        return sum(int(np.prod(s)) for s in self.parts.values()) // DIM
+
+
+def shape_for(words: int) -> Shape:
+    """The smallest shape for so many words and a third as many endings."""
+    need = words + -(-words // 3)
+    g = GROUPS
+    while g**3 < need:
+        g += 16  # whole rows
+    return Shape(g, max(0, -(-(need - g * g) // (g - 1))))
+
+
+def unpack(flat: np.ndarray, shape: Shape = Shape()) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, shape in PARTS.items():
-        out[k] = flat[at : at + SIZES[k]].reshape(shape)
-        at += SIZES[k]
+    for k, dims in shape.parts.items():
+        size = int(np.prod(dims))
+        out[k] = flat[at : at + size].reshape(dims)
+        at += size
     return out
 
 
-def start_weights(seed: int = 3) -> np.ndarray:
+def start_weights(seed: int = 3, shape: Shape = Shape()) -> np.ndarray:
     rng = np.random.RandomState(seed)
-    flat = rng.normal(0, 0.3, ROWS * DIM).astype(np.float32)
-    p = unpack(flat)
+    flat = rng.normal(0, 0.3, shape.rows * DIM).astype(np.float32)
+    p = unpack(flat, shape)
     p["b1"][:] = 0
     p["b2"][:] = 0
+    p["b3"][:] = 0
     return flat
 
 
-def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_keys(texts: list[str | None], endings: int = ENDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and ending bucket of each word of all texts, and where each text's words begin."""
     parts = [(t or "").encode("utf-8", "replace") + b"  " for t in texts]
     starts = np.zeros(len(parts) + 1, np.int64)
@@ -65,7 +102,7 @@ def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if not len(start):
         return np.empty(0, U64), np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     h = ByteHash(b)
-    ending = (h.of(np.maximum(start, end - 3), end) % U64(ENDINGS)).astype(np.int64)
+    ending = (h.of(np.maximum(start, end - 3), end) % U64(endings)).astype(np.int64)
     return h.of(start, end), ending, np.searchsorted(start, starts)
 
 
@@ -74,20 +111,22 @@ class WindowModel:
     words: np.ndarray = field(repr=False)  # sorted hashes of the frequent words
     places: np.ndarray = field(repr=False)  # their token ids: rank by frequency
     flat: np.ndarray = field(repr=False)
+    shape: Shape = Shape()
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        keys, ending, first = word_keys(texts)
+        below = max(WORDS, len(self.words))
+        keys, ending, first = word_keys(texts, self.shape.vocab - below)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
             known = self.words[at] == keys
-            return np.where(known, self.places[at], WORDS + ending).astype(np.int32), first
-        return (WORDS + ending).astype(np.int32), first
+            return np.where(known, self.places[at], below + ending).astype(np.int32), first
+        return (below + ending).astype(np.int32), first
 
     def score(self, texts: list[str | None], block: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
         """Summed conditional log-probability and number of tokens of each text."""
         tokens, first = self.tokens(texts)
-        context = contexts(tokens, first)
-        p = unpack(self.flat)
+        context = contexts(tokens, first, self.shape.vocab)
+        p = unpack(self.flat, self.shape)
         out = np.zeros(len(tokens) + 1)
         for s in range(0, len(tokens), block):
             out[s + 1 : s + 1 + block] = forward(p, context[:, s : s + block], tokens[s : s + block])[0]
@@ -95,7 +134,7 @@ class WindowModel:
         return sums[first[1:]] - sums[first[:-1]], np.diff(first)
 
 
-def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+def contexts(tokens: np.ndarray, first: np.ndarray, border: int = VOCAB) -> np.ndarray:
     """Neighbours at each offset; the border token stands outside the text."""
     n = len(tokens)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -103,63 +142,112 @@ def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.empty((len(OFFSETS), n), np.int32)
     for k, o in enumerate(OFFSETS):
         inside = (at + o >= first[doc]) & (at + o < first[doc + 1])
-        out[k] = np.where(inside, tokens[np.clip(at + o, 0, max(0, n - 1))] if n else 0, VOCAB)
+        out[k] = np.where(inside, tokens[np.clip(at + o, 0, max(0, n - 1))] if n else 0, border)
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of each row's target; probabilities times their sum, in the place of z, and that sum."""
+    z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return picked - np.log(total), z, total
+
+
+def _error(z: np.ndarray, total: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Probabilities less 1 at the target, in the place of z."""
+    z /= total[:, None]
+    z[np.arange(len(z)), target] -= 1
+    return z
 
 
 def forward(p: dict, context: np.ndarray, tokens: np.ndarray):
-    group, place = tokens // GROUPS, tokens % GROUPS
+    groups = len(p["w1"])
+    own = groups * groups - len(p["slot"])  # tokens with a place of their own
+    sub = np.flatnonzero(tokens >= own)
+    slot, member = np.divmod(tokens[sub] - own, groups)
+    places = tokens.copy()
+    places[sub] = own + slot
+    group, place = np.divmod(places, groups)
     h = p["emb"][context[0]].copy()
     for c in context[1:]:
         h += p["emb"][c]
     h = np.tanh(h / len(context))
-    l1 = _log_softmax(h @ p["w1"].T + p["b1"])
+    z = h @ p["w1"].T
+    z += p["b1"]
+    total, *e1 = _softmax(z, group)
     g = np.tanh(h + p["grp"][group])
-    l2 = _log_softmax(g @ p["w2"].T + p["b2"][group])
-    at = np.arange(len(tokens))
-    return l1[at, group] + l2[at, place], h, g, l1, l2, group, place
+    z = g @ p["w2"].T
+    z += p["b2"][group]
+    l2, *e2 = _softmax(z, place)
+    total += l2
+    f, e3 = None, None
+    if len(sub):
+        f = np.tanh(h[sub] + p["slot"][slot])
+        z = f @ p["w3"].T
+        z += p["b3"][slot]
+        l3, *e3 = _softmax(z, member)
+        total[sub] += l3
+    return total, h, g, f, (e1, group), (e2, place), (e3, member), sub, slot
+
+
+def _by_key(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys and the sums of each one's rows."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return [k[start], *[np.add.reduceat(v[order], start, axis=0) for v in values]]
 
 
 class Trainer:
-    def __init__(self, flat: np.ndarray, rate: float):
+    def __init__(self, flat: np.ndarray, rate: float, shape: Shape = Shape()):
         self.flat, self.rate = flat.copy(), rate
-        self.p = unpack(self.flat)
+        self.p = unpack(self.flat, shape)
         self.seen = np.full_like(self.flat, 1e-4)
-        self.tokens = 0
+        self.s = unpack(self.seen, shape)
+        self.weight = np.zeros(shape.rows, np.int64)  # occurrences of embeddings; all tokens for other rows that moved
+        self.shape, self.tokens = shape, 0
+
+    def _move(self, part: str, grad: np.ndarray, rows=slice(None)) -> None:
+        """Adagrad for some rows of a part; the others have gradient 0 and stay."""
+        seen = self.s[part][rows] + grad * grad
+        self.s[part][rows] = seen
+        self.p[part][rows] -= self.rate * grad / np.sqrt(seen)
 
     def step(self, context: np.ndarray, tokens: np.ndarray) -> None:
         p, n = self.p, len(tokens)
-        _, h, g, l1, l2, group, place = forward(p, context, tokens)
-        at = np.arange(n)
-        d1, d2 = np.exp(l1), np.exp(l2)
-        d1[at, group] -= 1
-        d2[at, place] -= 1
+        _, h, g, f, (e1, group), (e2, place), (e3, member), sub, slot = forward(p, context, tokens)
+        d1, d2 = _error(*e1, group), _error(*e2, place)
         dg = (d2 @ p["w2"]) * (1 - g * g)
-        dh = (d1 @ p["w1"] + dg) * (1 - h * h) / len(context)
-        one = np.zeros((n, GROUPS), np.float32)
-        one[at, group] = 1
-        grad = np.zeros_like(self.flat)
-        q = unpack(grad)
-        q["w1"][:] = d1.T @ h
-        q["b1"][:] = d1.sum(0)
-        q["w2"][:] = d2.T @ g
-        q["b2"][:] = one.T @ d2
-        q["grp"][:] = one.T @ dg
-        index = (context.astype(np.int64).ravel()[:, None] * DIM + np.arange(DIM)).ravel()
-        q["emb"][:] = np.bincount(index, np.tile(dh, (len(context), 1)).ravel(), (VOCAB + 1) * DIM).reshape(VOCAB + 1, DIM)
-        grad /= n
-        self.seen += grad * grad
-        self.flat -= self.rate * grad / np.sqrt(self.seen)
+        dh = d1 @ p["w1"] + dg
+        moves = [("w1", d1.T @ h / n), ("b1", d1.sum(0) / n), ("w2", d2.T @ g / n)]
+        if len(sub):
+            d3 = _error(*e3, member)
+            df = (d3 @ p["w3"]) * (1 - f * f)
+            dh[sub] += df
+            rows, df, b3 = _by_key(slot, df, d3)
+            moves += [("w3", d3.T @ f / n), ("slot", df / n, rows), ("b3", b3 / n, rows)]
+        dh *= (1 - h * h) / len(context)
+        rows, dg, b2 = _by_key(group, dg, d2)
+        moves += [("grp", dg / n, rows), ("b2", b2 / n, rows)]
+        order = np.argsort(context, axis=None)
+        key = context.ravel()[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        moves.append(("emb", np.add.reduceat(dh[order % n], start, axis=0) / n, key[start]))
+        for m in moves:
+            self._move(*m)
+        self.weight[key[start]] += np.diff(start, append=len(key))
         self.tokens += n
 
+    def moved(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of weights that differ from before, and the weight of each in the average."""
+        rows = np.flatnonzero((self.flat != before).reshape(-1, DIM).any(1))
+        return rows, np.where(rows <= self.shape.vocab, np.maximum(1, self.weight[rows]), self.tokens)
+
 
-def count_words(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """Hashes of the WORDS most frequent words of all documents, most frequent first."""
+def count_words(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> np.ndarray:
+    """Hashes of the words that occur min_count times in all documents, of the WORDS most frequent at least, most frequent first."""
     ship_package(docs.sparkSession)
 
     def run(batches):
@@ -183,43 +271,66 @@ def count_words(docs: DataFrame, text_col: str = "text") -> list[int]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
     words = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(run, "word long, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
-    return [r["word"] for r in top.collect()]
+    counted = words.groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.filter(F.col("n") >= min_count).toArrow()
+    if top.num_rows < WORDS:  # a small corpus
+        top = counted.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    word, n = top.column("word").to_numpy(), top.column("n").to_numpy()
+    return word[np.lexsort((word, -n))].view(np.uint64)
 
 
-def train_model(docs: DataFrame, text_col: str = "text", rounds: int = 3, rate: float = 0.15, batch: int = 4096) -> WindowModel:
+def train_model(docs: DataFrame, text_col: str = "text", rounds: int = 3, rate: float = 0.15, batch: int = 4096, min_count: int = MIN_COUNT) -> WindowModel:
     """Trains on all documents, each in one of the rounds, dealt out by a hash of its text."""
     ship_package(docs.sparkSession)
-    ranked = np.array(count_words(docs, text_col), np.int64).view(np.uint64)
+    ranked = count_words(docs, text_col, min_count)
     order = np.argsort(ranked)
-    model = WindowModel(ranked[order], order.astype(np.int64), start_weights())
-    kinds = [pa.int32(), pa.float64(), *[pa.float64()] * DIM]
-    names = ["row", "n", *[f"v{i}" for i in range(DIM)]]
+    shape = shape_for(max(WORDS, len(ranked)))
+    model = WindowModel(ranked[order], order.astype(np.int64), start_weights(shape=shape), shape)
+    names = ["block", "row", "n", "v"]
+
+    def average(batches):
+        """Weighted means of the rows of each block."""
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, row, n, v in zip(*(c.to_pylist() for c in b.columns)):
+                sums = held.setdefault(block, np.zeros((shape.rows // BLOCKS + 1, DIM + 1)))
+                at, n = np.frombuffer(row, np.int32) // BLOCKS, np.frombuffer(n)
+                sums[at, 0] += n
+                sums[at, 1:] += np.frombuffer(v, np.float32).reshape(-1, DIM) * n[:, None]
+        for block, sums in held.items():
+            at = np.flatnonzero(sums[:, 0])
+            mean = (sums[at, 1:] / sums[at, :1]).astype(np.float32)
+            row = (at * BLOCKS + block).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["row", "v"])
+
     for r in range(rounds):
 
         def run(batches, model=model, rate=rate / (1 + r)):
-            trainer = Trainer(model.flat, rate)
+            trainer = Trainer(model.flat, rate, model.shape)
             for b in batches:
                 for part in slices(b):
                     tokens, first = model.tokens(part.column(0).to_pylist())
-                    context = contexts(tokens, first)
+                    context = contexts(tokens, first, model.shape.vocab)
                     deal = np.random.RandomState(len(tokens)).permutation(len(tokens))
                     for s in range(0, len(tokens), batch):
                         k = deal[s : s + batch]
                         trainer.step(context[:, k], tokens[k])
             if trainer.tokens:
-                v = trainer.flat.reshape(ROWS, DIM).astype(np.float64) * trainer.tokens
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([np.arange(ROWS), np.full(ROWS, float(trainer.tokens)), *v.T], kinds)], names=names)
+                rows, weight = trainer.moved(model.flat)
+                v = trainer.flat.reshape(-1, DIM)
+                for block in range(BLOCKS):
+                    at = np.flatnonzero(rows % BLOCKS == block)
+                    packed = [rows[at].astype(np.int32), weight[at].astype(np.float64), v[rows[at]].astype(np.float32)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=names)
 
         text = F.col(f"`{text_col}`")
         part = docs.filter(F.pmod(F.xxhash64(text), F.lit(rounds)) == r).select(text.alias("t"))
-        fields = "row int, n double, " + ", ".join(f"v{i} double" for i in range(DIM))
-        sums = part.mapInArrow(run, fields).groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)]).collect()
-        if sums:
-            flat = np.zeros((ROWS, DIM), np.float32)
-            for x in sums:
-                flat[x["row"]] = np.array(x[2:]) / x["n"]
-            model = WindowModel(model.words, model.places, flat.ravel())
+        packed = part.mapInArrow(run, "block int, row binary, n binary, v binary")
+        means = packed.repartition("block").mapInArrow(average, "row binary, v binary").toArrow()
+        flat = model.flat.reshape(-1, DIM).copy()
+        for row, v in zip(means.column("row").to_pylist(), means.column("v").to_pylist()):
+            flat[np.frombuffer(row, np.int32)] = np.frombuffer(v, np.float32).reshape(-1, DIM)
+        model = WindowModel(model.words, model.places, flat.ravel(), shape)
     return model
 
 
