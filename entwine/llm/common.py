@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,7 +44,7 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    top = Path(__file__).resolve().parents[1]
+    top = Path(os.path.abspath(__file__)).parents[1]
     out = Path(tempfile.mkdtemp()) / "entwine_pkg.zip"
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(top.rglob("*.py")):
@@ -214,23 +217,46 @@ class ByteHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
 
 
-#: True for the bytes 0x21 to 0xFF and for 0x00 to 0x1F without TAB to CR: word bytes under [^\x20\x09-\x0D]+.
-WORD_BYTE = np.ones(256, bool)
-WORD_BYTE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def word_hashes(data: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hashes of the words (runs of WORD_BYTE) of lower-cased UTF-8 bytes, in order."""
-    if not len(data):
-        return np.empty(0, U64)
-    w = np.empty(len(data) + 2, np.int8)
-    w[0] = w[-1] = 0
-    w[1:-1] = WORD_BYTE[data]
-    d = np.diff(w)
-    start, end = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
-    return ByteHash(data, base).of(start, end)
+class WordHashes(dict):
+    """64-bit hashes of words by keyed BLAKE2b, each word's computed once while it is held."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_words = WordHashes()
+
+
+def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of about so many bytes, cut at white space."""
+    at = 0
+    while len(raw) - at > size:
+        m = _SPACE.search(raw, at + size)
+        if not m:
+            break
+        yield raw[at : m.start()]
+        at = m.end()
+    yield raw[at:] if at else raw
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), U64, len(words))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text with A-Z in lower case, in order; long texts go piece by piece."""
+    found = [hash_words(p.lower().split()) for p in pieces(raw)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -245,10 +271,17 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return out
 
 
-def lower_bytes(text: str | None) -> np.ndarray:
-    return LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def exact_shingles(text: str | None, size: int = 5) -> np.ndarray:
     """The distinct word shingles of a text, as sorted 64-bit hashes."""
-    return np.unique(shingle_hashes(word_hashes(lower_bytes(text)), size))
+    return np.unique(shingle_hashes(word_hashes(encoded(text)), size))
+
+
+def real_shingles(text: str | None, size: int = 5) -> set[tuple[bytes, ...]]:
+    """The distinct word shingles of a text themselves."""
+    words = encoded(text).lower().split()
+    size = min(size, len(words))
+    return set(zip(*(words[k:] for k in range(size))))

@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized word windows, multi-index Hamming lookup, exact check.
 
-Every window with as many words as an item gets a 128-bit SimHash of its words. Fingerprints are cut into
-RADIUS + 1 blocks; two within RADIUS bits agree in one block at least, so looking up all blocks finds all of them.
+Every window with as many words as an item gets a 128-bit SimHash of its words. Fingerprints are cut into BLOCKS
+blocks. Two within RADIUS bits differ by at most NEAR bits in one block at least; items are stored in every block under
+all values so near to their own, so one lookup for each block of a window finds all of them.
 Candidates are confirmed by the weighted Jaccard similarity of their five-word shingles, weights being counts.
 
 A window can only reach the required similarity if it holds a shingle of the item. Windows without any are not
@@ -17,33 +18,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ByteHash, map_text, mix, shingle_hashes
+from .common import hash_words, map_text, mix, pieces, shingle_hashes
 
 U64 = np.uint64
 BITS = 128
-RADIUS = 31
-BLOCKS = RADIUS + 1
+NEAR = 2
+EDGES = np.linspace(0, BITS, 13).round().astype(int)  # of the blocks of 10 or 11 bits
+BLOCKS = len(EDGES) - 1
+RADIUS = BLOCKS * (NEAR + 1) - 1  # 35: else every block would differ by NEAR + 1 bits
 SHINGLE = 5
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = True
-_WORD[97:123] = True
-_WORD[128:] = True
+_NOT_WORD = bytes(c for c in range(128) if not (48 <= c < 58 or 97 <= c < 123))
+_TO_SPACES = bytes.maketrans(_NOT_WORD, b" " * len(_NOT_WORD))
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.IntegerType()), T.StructField("word_start", T.LongType()), T.StructField("n_words", T.IntegerType())]))
 
 
 def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (letters and digits of the lower-cased text), and where each text's begin."""
-    parts = [(t or "").lower().encode("utf-8", "replace") + b" " for t in texts]
-    starts = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=starts[1:])
-    b = np.frombuffer(b"".join(parts), np.uint8)
-    w = np.zeros(len(b) + 2, np.int8)
-    w[1:-1] = _WORD[b]
-    d = np.diff(w)
-    start, end = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
-    words = ByteHash(b).of(start, end) if len(start) else np.empty(0, U64)
-    return words, np.searchsorted(start, starts)
+    found = [[hash_words(p.split()) for p in pieces((t or "").lower().encode("utf-8", "replace").translate(_TO_SPACES))] for t in texts]
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([sum(map(len, f)) for f in found], out=first[1:])
+    flat = [w for f in found for w in f]
+    return np.concatenate(flat) if flat else np.empty(0, U64), first
 
 
 def bit_votes(words: np.ndarray) -> np.ndarray:
@@ -60,28 +56,35 @@ def fingerprints(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
 
 
 class MultiIndex:
-    """Finds all stored fingerprints within RADIUS bits of given ones."""
+    """Finds all stored fingerprints within RADIUS bits of given ones: one sorted list of items for each block's value."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        for i, nibbles in enumerate(self.blocks(prints)):
-            for b, x in enumerate(nibbles.tolist()):
-                self.tables[b][x].append(i)
+        self.first, self.items = [], []
+        for width, value in zip(np.diff(EDGES).tolist(), self.blocks(prints)):
+            near = np.array([x for x in range(1 << width) if x.bit_count() <= NEAR])
+            codes = (value[:, None] ^ near).ravel()
+            order = np.argsort(codes, kind="stable")
+            self.items.append((order // len(near)).astype(np.int32))
+            self.first.append(np.searchsorted(codes[order], np.arange((1 << width) + 1)).astype(np.int32))
 
     @staticmethod
-    def blocks(prints: np.ndarray) -> np.ndarray:
-        """128 bits make 32 blocks of 4 bits: as many as RADIUS + 1."""
-        return np.stack([prints >> 4, prints & 15], 2).reshape(len(prints), BLOCKS)
+    def blocks(prints: np.ndarray) -> list[np.ndarray]:
+        """The value of each block."""
+        bits = np.unpackbits(prints, axis=1).astype(np.int32)
+        return [bits[:, a:b] @ (1 << np.arange(b - a, dtype=np.int32)) for a, b in zip(EDGES, EDGES[1:])]
 
     def near(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
-        out = []
-        for q, nibbles in enumerate(self.blocks(prints)):
-            found = sorted(set().union(*(self.tables[b].get(x, ()) for b, x in enumerate(nibbles.tolist()))))
-            if found:
-                dist = np.bitwise_count(self.prints[found] ^ prints[q]).sum(1)
-                out += [(q, found[k], int(dist[k])) for k in np.flatnonzero(dist <= RADIUS)]
-        return out
+        """Place of the given print, place of the stored one, distance."""
+        pairs = []
+        for first, items, value in zip(self.first, self.items, self.blocks(prints)):
+            a, n = first[value], first[value + 1] - first[value]
+            q = np.repeat(np.arange(len(prints)), n)
+            pairs.append(q * len(self.prints) + items[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        q, i = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
+        dist = np.bitwise_count(self.prints[i] ^ prints[q]).sum(1)
+        hit = dist <= RADIUS
+        return list(zip(q[hit].tolist(), i[hit].tolist(), dist[hit].tolist()))
 
 
 class ItemIndex:
@@ -91,67 +94,86 @@ class ItemIndex:
         self.threshold = threshold
         self.of_length: dict[int, list[tuple[int, Counter]]] = defaultdict(list)
         prints: dict[int, list[np.ndarray]] = defaultdict(list)
-        by_shingle: dict[int, set[int]] = defaultdict(set)
+        by_shingle: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
             words, _ = split_words([text])
             n = len(words)
-            if n < SHINGLE:
+            if not n:
                 continue
             shingles = shingle_hashes(words, SHINGLE).tolist()
             self.of_length[n].append((item_id, Counter(shingles)))
             prints[n].append(fingerprints(words, np.array([0]), n)[0])
             for s in shingles:
-                by_shingle[s].add(n)
+                by_shingle[min(n, SHINGLE)][s].add(n)
         self.index = {n: MultiIndex(np.stack(p)) for n, p in prints.items()}
-        self.keys = np.array(sorted(by_shingle), U64)
-        self.lengths = [sorted(by_shingle[k]) for k in self.keys.tolist()]
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(self.keys & U64((1 << 20) - 1)).astype(np.int64)] = True
+        self.shingles = {size: _Lookup(known) for size, known in by_shingle.items()}
 
     def match(self, texts: list[str | None]) -> list[list[dict]]:
+        """Shorter items than SHINGLE words have one shingle of all of them; so do windows as long as they."""
         out: list[list[dict]] = [[] for _ in texts]
-        if not len(self.keys):
-            return out
         words, first = split_words(texts)
-        if len(words) < SHINGLE:
-            return out
-        sh = shingle_hashes(words, SHINGLE)
-        at = np.flatnonzero(self.bitmap[(sh & U64((1 << 20) - 1)).astype(np.int64)])
-        key = np.minimum(np.searchsorted(self.keys, sh[at]), len(self.keys) - 1)
-        hit = self.keys[key] == sh[at]
-        at, key = at[hit], key[hit]
-        doc = np.searchsorted(first, at, "right") - 1
-        inside = at + SHINGLE <= first[doc + 1]
-        at, key, doc = at[inside], key[inside], doc[inside]
-        for d in np.unique(doc).tolist():
-            mine = doc == d
-            lo, hi = int(first[d]), int(first[d + 1])
-            out[d] = self._match_one(words[lo:hi], sh[lo:hi], (at[mine] - lo).tolist(), key[mine].tolist())
-        return out
-
-    def _match_one(self, words: np.ndarray, sh: np.ndarray, at: list[int], key: list[int]) -> list[dict]:
+        for size, lookup in self.shingles.items():
+            if len(words) < size:
+                continue
+            sh = shingle_hashes(words, size)
+            at, lengths = lookup.find(sh)
+            doc = np.searchsorted(first, at, "right") - 1
+            inside = at + size <= first[doc + 1]
+            at, lengths, doc = at[inside], lengths[inside], doc[inside]
+            for d, a, b in zip(*_runs(doc)):
+                lo, hi = int(first[d]), int(first[d + 1])
+                out[d] += self._match_one(words[lo:hi], sh[lo:hi], size, (at[a:b] - lo).tolist(), [lookup.lengths[k] for k in lengths[a:b].tolist()])
+        return [sorted(m, key=lambda x: x["item_id"]) for m in out]
+
+    def _match_one(self, words: np.ndarray, sh: np.ndarray, shingle: int, at: list[int], lengths: list[list[int]]) -> list[dict]:
         anchors: dict[int, set[int]] = defaultdict(set)
-        for p, k in zip(at, key):
-            for n in self.lengths[k]:
+        for p, ns in zip(at, lengths):
+            for n in ns:
                 anchors[n].add(p)
         best: dict[int, tuple] = {}
         for n, places in anchors.items():
             size = min(n, len(words))
             p = np.array(sorted(places))
-            starts = np.unique((p[:, None] - np.arange(size - SHINGLE + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(words) - size)]
-            for s in range(0, len(starts), 4096):
-                part = starts[s : s + 4096]
-                prints = _prints_at(words, part, size)
-                for q, i, dist in self.index[n].near(prints):
-                    item_id, bag = self.of_length[n][i]
-                    start = int(part[q])
-                    window = Counter(sh[start : start + size - SHINGLE + 1].tolist())
-                    common = sum(min(c, bag[x]) for x, c in window.items() if x in bag)
-                    similarity = common / (sum(window.values()) + sum(bag.values()) - common)
-                    if similarity >= self.threshold and (item_id not in best or (-similarity, start) < best[item_id][:2]):
-                        best[item_id] = (-similarity, start, dist, size)
-        return [{"item_id": i, "similarity": -b[0], "distance": b[2], "word_start": b[1], "n_words": b[3]} for i, b in sorted(best.items())]
+            for s in range(0, len(p), 512):  # so many anchors at once, to bound memory
+                starts = np.unique((p[s : s + 512, None] - np.arange(size - shingle + 1)).ravel())
+                starts = starts[(starts >= 0) & (starts <= len(words) - size)]
+                for s2 in range(0, len(starts), 4096):
+                    self._judge(words, sh, shingle, n, size, starts[s2 : s2 + 4096], best)
+        return [{"item_id": i, "similarity": -b[0], "distance": b[2], "word_start": b[1], "n_words": b[3]} for i, b in best.items()]
+
+    def _judge(self, words: np.ndarray, sh: np.ndarray, shingle: int, n: int, size: int, starts: np.ndarray, best: dict[int, tuple]) -> None:
+        if not len(starts):
+            return
+        for q, i, dist in self.index[n].near(_prints_at(words, starts, size)):
+            item_id, bag = self.of_length[n][i]
+            start = int(starts[q])
+            window = Counter(sh[start : start + size - shingle + 1].tolist())
+            common = sum(min(c, bag[x]) for x, c in window.items() if x in bag)
+            similarity = common / (sum(window.values()) + sum(bag.values()) - common)
+            if similarity >= self.threshold and (item_id not in best or (-similarity, start) < best[item_id][:2]):
+                best[item_id] = (-similarity, start, dist, size)
+
+
+class _Lookup:
+    """Which lengths of items hold a shingle."""
+
+    def __init__(self, known: dict[int, set[int]]):
+        self.keys = np.array(sorted(known), U64)
+        self.lengths = [sorted(known[k]) for k in self.keys.tolist()]
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[(self.keys & U64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def find(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.bitmap[(sh & U64((1 << 20) - 1)).astype(np.int64)])
+        key = np.minimum(np.searchsorted(self.keys, sh[at]), len(self.keys) - 1)
+        hit = self.keys[key] == sh[at]
+        return at[hit], key[hit]
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Values of the runs of equal numbers, their starts and ends."""
+    start = np.flatnonzero(np.diff(x, prepend=-1))
+    return x[start].tolist(), start.tolist(), [*start[1:].tolist(), len(x)]
 
 
 def _prints_at(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -164,12 +186,14 @@ def _prints_at(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def match_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, items_a_pass: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+def match_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, items_a_pass: int = 5_000, keep: list[str] | None = None) -> DataFrame:
     """Adds `matches` to each document: items of which a window reaches the similarity, best window of each.
 
     Items are the stated query set: at most items_a_pass of them go to the executors at once, with a pass over the
-    documents for each such block. Items with a null id or text, or fewer than five words, match nothing; equal
-    items are all reported. A document shorter than an item is one window. Null and empty texts match nothing.
+    documents for each such block. Items with a null id or text, or without words, match nothing; those of fewer than
+    five words match where all their words stand in a row; equal items are all reported. A document shorter than an
+    item is one window. Null and empty texts match nothing. Rows are independent: repeated rows get equal matches; of
+    windows of an item that tie, the first counts. Very long texts are read in pieces.
     A column named `matches` gives way to the new one.
     """
     out, cols = _with_matches(docs, items, text_col, item_id, item_text, threshold, items_a_pass, keep)
@@ -193,7 +217,7 @@ def _with_matches(docs, items, text_col, item_id, item_text, threshold, items_a_
     return out, cols
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, items_a_pass: int = 20_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, items_a_pass: int = 5_000) -> DataFrame:
     """The documents without a benchmark passage, with their columns; null and empty texts stay."""
     out, cols = _with_matches(docs, items, text_col, item_id, item_text, threshold, items_a_pass, None)
     for c in cols:

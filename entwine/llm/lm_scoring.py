@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, WORD_BYTE, ByteHash, map_text, ship_package, slices
+from .common import U64, encoded, hash_words, map_text, pieces, ship_package, slices
 
 GROUPS = 32
 VOCAB = GROUPS * GROUPS
@@ -91,19 +91,18 @@ def start_weights(seed: int = 3, shape: Shape = Shape()) -> np.ndarray:
 
 def word_keys(texts: list[str | None], endings: int = ENDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and ending bucket of each word of all texts, and where each text's words begin."""
-    parts = [(t or "").encode("utf-8", "replace") + b"  " for t in texts]
-    starts = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=starts[1:])
-    b = LOWER[np.frombuffer(b"".join(parts), np.uint8)]
-    w = np.zeros(len(b) + 2, np.int8)
-    w[1:-1] = WORD_BYTE[b]
-    d = np.diff(w)
-    start, end = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
-    if not len(start):
-        return np.empty(0, U64), np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    h = ByteHash(b)
-    ending = (h.of(np.maximum(start, end - 3), end) % U64(endings)).astype(np.int64)
-    return h.of(start, end), ending, np.searchsorted(start, starts)
+    keys, ends, counts = [], [], [0]
+    for t in texts:
+        n = 0
+        for p in pieces(encoded(t)):
+            words = p.lower().split()
+            keys.append(hash_words(words))
+            ends.append(hash_words([w[-3:] for w in words]))
+            n += len(words)
+        counts.append(n)
+    if not keys:
+        return np.empty(0, U64), np.empty(0, np.int64), np.zeros(1, np.int64)
+    return np.concatenate(keys), (np.concatenate(ends) % U64(endings)).astype(np.int64), np.cumsum(counts)
 
 
 @dataclass

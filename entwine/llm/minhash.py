@@ -6,10 +6,11 @@ place, so no permutation is stored.
 
 Texts with equal shingle sets make a class; all further work is on one representative of each. Documents that
 share a band are compared with the smallest one of a bucket first; only where a bucket still holds
-several components are its other pairs looked at. In a bucket of up to CROWD members these are pairs that pass a
-filter by set sizes and signature sketches; in a larger one exact intersections come from products of incidence
-matrices, block by block, of which only the links between components leave the task. So a large group of copies
-costs a few rows for each member, and no pair between components goes unchecked.
+several components are its other pairs looked at: exact intersections come from products of incidence matrices,
+block by block, of which only the links between components leave the task. So a large group of copies costs a few
+rows for each member, and no pair between components goes unchecked, whatever the size of a bucket.
+
+Words are hashed by keyed BLAKE2b, and every link that counts is confirmed on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,18 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, exact_shingles, map_text, mix, ship_package, staged, whole_groups
+from .common import U64, exact_shingles, map_text, mix, real_shingles, ship_package, staged, whole_groups
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
 STEP = np.uint32(0x9E3779B1)
 SHIFTS = (np.arange(COORDS, dtype=np.uint64) * U64(int(STEP)) & U64(0xFFFFFFFF)).astype(np.uint32)[:, None]
-SKETCH_WORDS = COORDS * 2 // 64
-#: Least number of equal 2-bit coordinates: pairs at similarity 0.75 reach 104 of 128 on average, deviation 4.4.
-SKETCH_LEAST = 82
-CROWD = 16
-BLOCK = 512
+LEAST_PERCENT = 75  # bands are made for it
+BLOCK = 512  # members
+BLOCK_SHINGLES = 1 << 21
 COLUMNS = 8192
 
 
@@ -59,24 +58,29 @@ def signature(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
     return out
 
 
-def describe(text: str | None) -> tuple[int, int, int, list[int], list[int]]:
-    """Set size, two hashes of the set, band hashes, sketch."""
+def describe(text: str | None) -> tuple[int, int, int, list[int]]:
+    """Set size, two hashes of the set, band hashes."""
     sh = exact_shingles(text)
     if not len(sh):
-        return 0, 0, 0, [], []
+        return 0, 0, 0, []
     sig = signature(sh)
     rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
     band = np.arange(BANDS, dtype=np.uint64) + U64(1)
     for r in range(ROWS):
         band = mix(band * U64(0x9FB21C651E98DF25) + rows[:, r])
-    bits = (sig >> np.uint32(7) & np.uint32(3)).astype(np.uint64).reshape(SKETCH_WORDS, 32)
-    sketch = (bits << (np.arange(32, dtype=np.uint64) * U64(2))).sum(1, dtype=np.uint64)
     h1, h2 = mix(sh).sum(dtype=np.uint64), mix(sh ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
     signed = np.array([h1, h2]).view(np.int64).tolist()
-    return len(sh), signed[0], signed[1], band.view(np.int64).tolist(), sketch.view(np.int64).tolist()
+    return len(sh), signed[0], signed[1], band.view(np.int64).tolist()
+
 
+FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
-FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
+
+def really_alike(a: str, b: str, percent: int) -> bool:
+    """Whether the sets of shingles, not their hashes, reach the similarity."""
+    x, y = real_shingles(a), real_shingles(b)
+    common = len(x & y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -87,14 +91,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             keep_a, keep_b = [], []
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*batch.columns):  # one pair of texts at a time
+                a, b, ta, tb = (x.as_py() for x in row)
                 if b not in seen:
                     if len(seen) > 64:
                         seen.clear()
                     seen[b] = exact_shingles(tb)
                 x, y = exact_shingles(ta), seen[b]
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
+                if 100 * common >= percent * (len(x) + len(y) - common) and really_alike(ta, tb, percent):
                     keep_a.append(a)
                     keep_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
@@ -129,9 +134,10 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def _cross(percent: int):
-    """Links between components in blocks of crowded buckets: each component with the smallest it reaches there."""
+    """Links between components in blocks of buckets: as many as it takes to join those that belong together."""
 
     def run(batches):
+        keep_a, keep_b = [], []
         for rows, (_, b1, b2) in whole_groups(batches, ("key", "b1", "b2")):
             own, component = rows.column("own").to_numpy(), rows.column("component").to_numpy()
             left = np.flatnonzero(own == b1)
@@ -142,34 +148,40 @@ def _cross(percent: int):
             n = np.array([len(x) for x in sets], np.float64)
             common = intersections(sets, left, right).astype(np.float64)
             i, j = np.nonzero((100 * common >= percent * (n[left][:, None] + n[right] - common)) & (component[left][:, None] != component[right]))
+            ids = rows.column("id").to_numpy()
             names, place = np.unique(component, return_inverse=True)
-            i, j = place[left[i]], place[right[j]]
             low = np.arange(len(names))
-            while len(i):
-                new = low.copy()
-                least = np.minimum(low[i], low[j])
-                np.minimum.at(new, i, least)
-                np.minimum.at(new, j, least)
-                if (new == low).all():
-                    break
-                low = new
-            hit = np.flatnonzero(low != np.arange(len(names)))
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(names[low[hit]])], names=["a", "b"])
+            for a, b in zip(left[i].tolist(), right[j].tolist()):  # links that join what was apart, a forest of them
+                x, y = _root(low, place[a]), _root(low, place[b])
+                if x != y:
+                    low[max(x, y)] = min(x, y)
+                    keep_a.append(ids[a])
+                    keep_b.append(ids[b])
+            if keep_a:
+                yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
+                keep_a, keep_b = [], []
 
     return run
 
 
-def _crowded_links(crowded: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """crowded: key, n (members of the bucket), id, component."""
-    members = crowded.select("id").distinct()
+def _root(low: np.ndarray, x: int) -> int:
+    while low[x] != x:
+        low[x] = low[low[x]]
+        x = low[x]
+    return x
+
+
+def _cross_links(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """mixed: key, n (members of the bucket), shingles (of all of them), id, component."""
+    members = mixed.select("id").distinct()
     sets = map_text(texts.join(members, "id", "left_semi"), "text", [T.StructField("shingles", T.BinaryType())], lambda: lambda texts: [[exact_shingles(t).tobytes() for t in texts]], keep=["id"])
     sets = staged(sets, "minhash_sets")
-    placed = crowded.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("all_shingles") / BLOCK_SHINGLES), F.col("n")))
+    placed = mixed.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("key", "id", "component", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2")).join(sets, "id")
     keys = ["key", "b1", "b2"]
-    return placed.select(*keys, "own", "component", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross(percent), "a long, b long")
+    return placed.select(*keys, "own", "id", "component", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -178,12 +190,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts and texts without words have an empty set and link with nothing. Rows with a null id link
     with nothing either: their component_id is null and they are kept. Repeated rows share a class; rows that share an id but not
     a text count as one document, linked where any of its texts is. class_id is the smallest id with the same set
-    (null for empty sets). Other input columns are ignored.
+    (null for empty sets). Other input columns are ignored. Very long texts are read in pieces; percent below 75 is
+    refused, as bands are made for 75 and more.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be {LEAST_PERCENT} at least")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sig = staged(map_text(base, "text", FIELDS, lambda: lambda texts: [list(c) for c in zip(*map(describe, texts))], keep=["doc_id"]), "minhash_sig")
     full = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = staged(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash_classes")
+    classes = staged(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "minhash_classes")
 
     spread = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
     buckets = staged(spread.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n_shingles", "id").alias("lead_n"), F.count("*").alias("size")).filter("size > 1"), "minhash_buckets")
@@ -193,9 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = shared.filter((F.col("id") != F.col("lead")) & fits(F.col("n_shingles"), F.col("lead_n")))
     star = staged(star.groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("bands")), "minhash_star")
     # Texts of all members of shared buckets, once: the checks below shuffle these alone, not the whole corpus.
-    # A merge join whatever the size: the plan stays the same when the members outgrow a broadcast.
+    # A merge join whatever the size: the plan stays the same when the members outgrow a broadcast. Rows that repeat an
+    # id and a text go to one by a key of its own, so that the join may split a hot id and tasks reduce copies first.
     members = shared.select(F.col("id").alias("doc_id")).distinct()
-    texts = staged(base.join(members.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "minhash_texts")
+    texts = base.join(members.hint("merge"), "doc_id", "left_semi").groupBy(F.bitwise_not("doc_id").alias("other"), F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    texts = staged(texts.select(F.bitwise_not("other").alias("id"), "text"), "minhash_texts")
     # Each member meets the leader that it shares most bands with; then, if still apart, the next such leader.
     links = staged(_verify(_best(star), texts, percent), "minhash_links")
     label = staged(connected_components(links, "a", "b"), "minhash_label")
@@ -208,23 +225,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets that still hold several components: all their pairs between components.
     label = staged(connected_components(links, "a", "b"), "minhash_label")
-    member = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("component"))
-    placed = shared.select("id", "key").join(member, "id")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
-    unsettled = staged(placed.join(staged(mixed, "minhash_mixed_keys"), "key"), "minhash_mixed")
-    x = unsettled.filter(F.col("n") <= CROWD).drop("n")
-    y = x.select("key", *[F.col(c).alias(f"{c}_y") for c in x.columns if c != "key"])
-    even = F.lit(0x5555555555555555)
-    differ = None
-    for k in range(SKETCH_WORDS):
-        d = F.col("sketch")[k].bitwiseXOR(F.col("sketch_y")[k])
-        n = F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1))).bitwiseAND(even))
-        differ = n if differ is None else differ + n
-    close = (F.col("component") < F.col("component_y")) & fits(F.col("n_shingles"), F.col("n_shingles_y")) & (differ <= COORDS - SKETCH_LEAST)
-    more = x.join(y, (x["key"] == y["key"]) & close).groupBy(F.greatest("id", "id_y").alias("a"), F.least("id", "id_y").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    more = staged(more, "minhash_more")
-    across = _crowded_links(unsettled.filter(F.col("n") > CROWD).select("key", "n", "id", "component"), texts, percent)
-    links2 = _verify(more, texts, percent).unionByName(links).unionByName(across)
+    member = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    placed = staged(shared.select("id", "key").join(member, "id"), "minhash_placed")
+    of_key = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    # Two members whose sizes don't fit need no look at their sets.
+    of_key = staged(of_key.filter("lo < hi").filter((F.col("n") > 2) | fits(F.col("least"), F.col("most"))).select("key", "n", "all_shingles"), "minhash_mixed_keys")
+    mixed = staged(placed.join(of_key, "key").select("key", "n", "all_shingles", "id", "component"), "minhash_mixed")
+    across = staged(_cross_links(mixed, texts, percent).distinct(), "minhash_across")
+    links2 = links.unionByName(_verify(across, texts, percent))
     final = staged(connected_components(links2, "a", "b"), "minhash_components")
 
     by_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
@@ -235,6 +243,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The documents without near-duplicates of a smaller id, with their columns."""
-    drop = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    """The documents without near-duplicates of a smaller id, with their columns; one row for each id.
+
+    Of rows that repeat an id, the one with the least text stays (null first; then the least hash of the row). Rows
+    with a null id all stay.
+    """
+    found = staged(near_duplicates(docs, id_col, text_col, percent).select(F.col("doc_id").alias(id_col), "kept"), "minhash_kept")
+    per_id = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    out = docs.join(per_id.filter("not kept or n > 1").select(id_col), id_col, "left_anti").select(*docs.columns)
+    again = staged(per_id.filter("kept and n > 1").select(id_col), "minhash_again")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = docs.join(again, id_col, "left_semi").select(*docs.columns)
+    one = rows.groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(f"`{text_col}`").isNotNull(), F.col(f"`{text_col}`"), F.xxhash64(*plain))).alias("__row"))
+    return out.unionByName(one.select("__row.*"))
