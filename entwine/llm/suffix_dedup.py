@@ -1,37 +1,44 @@
 """Repeated byte strings by distributed prefix doubling over sampled suffixes.
 
-Wanted are all strings of THRESHOLD bytes that start at two places at least. Ranks of prefixes are names: equal
-strings of a length have equal 64-bit names wherever they stand, and the name of a longer string is the pair of
-the names of its parts at a growing offset. Spark brings equal names together, unique ones drop out, and the rest
-are named again at a greater length, until the threshold is passed.
+Wanted are all strings of THRESHOLD bytes that start at two places at least. Spark sorts rows by rank, equal ones come
+together, unique ones drop out, and the others are ranked anew by pairs: the rank so far and the name of the bytes
+that follow at a growing offset (here on both sides), until the threshold is passed. A rank is a 64-bit name, the
+same for equal strings wherever they stand.
 
-Not every position takes part in the first round. Each string of THRESHOLD bytes has an anchor: the leftmost of its
+Not every position takes part. Each string of THRESHOLD bytes has an anchor: the leftmost of its
 GRAM-byte grams with the least hash. Equal strings have equal anchors at equal distances, so
 
-round 0  names the grams at the anchors (145 bytes; about one position in 128),
-round 1  names, for each 16 neighbouring distances to the anchor, the bytes common to their strings (385 bytes),
-round 2  names the single strings (400 bytes).
+round 0  ranks the grams at the anchors (145 bytes; about one position in 128),
+round 1  ranks, for each 128 neighbouring distances to the anchor, the bytes common to their strings (273 bytes),
+round 2  does so for each 16 distances (385 bytes),
+round 3  ranks the single strings (400 bytes).
 
 A row stands for the neighbouring strings of one anchor (`lo` to `hi`: their distances to it). Its core is what all
 of them share, its hull what they cover together. A core that occurs once settles that none of the strings repeats;
-equal hulls settle that all of them do; of cores with several hulls, one row for each goes to the next round.
+equal hulls settle that all of them do; of cores with several hulls, one row for each goes to the next round. What
+repeats inside a batch is settled there, and one row for each hull stands for it, so copies and periodic texts
+shuffle little.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, U64, mix, ship_package, staged
+from .common import ByteHash, U64, encoded, mix, ship_package, staged
 
 THRESHOLD = 400
 GRAM = 145
 SPAN = THRESHOLD - GRAM + 1  # distances from a string's start to its anchor: 0 to SPAN - 1
-STEPS = (SPAN, 16, 1)  # how many distances share a core in each round
+STEPS = (SPAN, 128, 16, 1)  # how many distances share a core in each round; each divides the one before
 PLACE = U64((1 << 31) - 1)
 BLOCK = 1 << 20  # starts handled at once, to bound memory
+SEEN = 1 << 20  # texts a task remembers
+#: Rows without a key are settled: all strings from `anchor` on, `hi` bytes together, repeat.
 ROW = "key long, hull long, k1 long, k2 long, anchor long, lo int, hi int"
 
 
@@ -51,11 +58,18 @@ def anchors(data: np.ndarray, hashes: ByteHash) -> tuple[np.ndarray, np.ndarray,
     return a, a - last, a - first
 
 
-def names(hashes: ByteHash, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of core and hull. Distances lo to hi lie in one slot of the round."""
-    slot = lo // STEPS[round_]
-    near, far = slot * STEPS[round_], (slot + 1) * STEPS[round_] - 1
-    core = hashes.of(a - near, a - far + THRESHOLD)
+def names(hashes: ByteHash, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, round_: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the cores and names of the hulls. Distances lo to hi lie in one slot of the round; rank: of the round before."""
+    step = STEPS[round_]
+    slot = lo // step
+    start, end = a - slot * step, a - (slot + 1) * step + 1 + THRESHOLD
+    if rank is None:
+        core = hashes.of(start, end)
+    else:  # the pair of the rank and of what the core adds to the one before, left and right of it
+        wide = STEPS[round_ - 1]
+        before = lo // wide
+        core = mix(rank * U64(0x9FB21C651E98DF25) + hashes.of(start, a - before * wide)) * U64(0x9FB21C651E98DF25)
+        core += hashes.of(a - (before + 1) * wide + 1 + THRESHOLD, end)
     start, end = a - hi, a - lo + THRESHOLD
     middle = start + THRESHOLD // 2
     pair = mix(hashes.of(start, middle) + U64(round_)) * U64(0x9FB21C651E98DF25) + hashes.of(middle, end)
@@ -63,30 +77,78 @@ def names(hashes: ByteHash, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, round
     return mix(core + mix((slot * 4 + round_).astype(U64))), hull
 
 
-def split(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts runs at the slots of a round."""
+def split(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts runs at the slots of a round; the last result tells which run each piece is of."""
     first, last = lo // step, hi // step
     n = last - first + 1
     row = np.repeat(np.arange(len(a)), n)
     slot = first[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return a[row], np.maximum(lo[row], slot * step), np.minimum(hi[row], slot * step + step - 1)
+    return a[row], np.maximum(lo[row], slot * step), np.minimum(hi[row], slot * step + step - 1), row
 
 
 def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return np.frombuffer(encoded(text), np.uint8)
+
+
+def merge(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joins overlapping or adjoining ranges of each owner (numbers from 0)."""
+    shift = owner.astype(np.int64) << 32
+    order = np.argsort(shift + start, kind="stable")
+    s, e = (shift + start)[order], np.maximum.accumulate((shift + end)[order])
+    first = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+    last = np.append(first[1:], len(s)) - 1
+    own = s[first] >> 32
+    return own, s[first] - (own << 32), e[last] - (own << 32)
+
+
+def settle(key: np.ndarray, hull: np.ndarray, k1: np.ndarray, k2: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """One row for each core and hull; those that occur twice here are settled, in ranges joined by text."""
+    order = np.lexsort((hull, key))
+    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (hull[order][1:] != hull[order][:-1])])
+    group = np.cumsum(new) - 1
+    again = order[np.bincount(group)[group] > 1]
+    one = order[new]
+    cols = [x[one] for x in (key.view(np.int64), hull.view(np.int64), k1, k2, a, lo, hi)]
+    nulls = np.zeros(len(one), bool)
+    if len(again):
+        _, owner = np.unique(np.stack([k1[again], k2[again]]), axis=1, return_inverse=True)
+        owner = owner.ravel()
+        place = np.empty(owner.max() + 1, np.int64)
+        place[owner] = again
+        own, start, end = merge(owner, (a - hi)[again], (a - lo)[again] + THRESHOLD)
+        zero = np.zeros(len(own), np.int64)
+        cols = [np.concatenate(c) for c in zip(cols, (zero, zero, k1[place[own]], k2[place[own]], start, zero, end - start))]
+        nulls = np.concatenate([nulls, np.ones(len(own), bool)])
+    kinds = [np.int64] * 5 + [np.int32] * 2
+    arrays = [pa.array(c.astype(k), mask=nulls if i == 0 else None) for i, (c, k) in enumerate(zip(cols, kinds))]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ROW.split(", ")])
 
 
 def _batch(parts: list[tuple]) -> pa.RecordBatch:
-    cols = [np.concatenate(c) for c in zip(*parts)]
-    kinds = [np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in ROW.split(", ")])
+    return settle(*[np.concatenate(c) for c in zip(*parts)])
+
+
+def _whole(texts: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """Texts that repeat from end to end."""
+    k1, k2, n = (np.array(x, np.int64) for x in zip(*texts))
+    zero = np.zeros(len(n), np.int64)
+    cols = [pa.nulls(len(n), pa.int64()), zero, k1, k2, zero, zero.astype(np.int32), n.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in ROW.split(", ")])
 
 
 def _first_round(batches):
+    seen: set[tuple[int, int]] = set()
     for b in batches:
-        parts, size = [], 0
-        for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-            data = _bytes(text)
+        parts, size, copies = [], 0, []
+        for row in zip(*b.columns):
+            k1, k2 = row[0].as_py(), row[1].as_py()
+            if (k1, k2) in seen:
+                copies.append((k1, k2, row[3].as_py()))
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add((k1, k2))
+            data = _bytes(row[2].as_py())
             for s in range(0, len(data) - THRESHOLD + 1, BLOCK):
                 piece = data[s : s + BLOCK + THRESHOLD - 1]
                 hashes = ByteHash(piece)
@@ -94,122 +156,126 @@ def _first_round(batches):
                 key, hull = names(hashes, a, lo, hi, 0)
                 parts.append((key, hull, np.full(len(a), k1), np.full(len(a), k2), a + s, lo, hi))
                 size += len(a)
-            if size > 50_000:
-                yield _batch(parts)
-                parts, size = [], 0
+                if size > 50_000:
+                    yield _batch(parts)
+                    parts, size = [], 0
         if parts:
             yield _batch(parts)
+        if copies:
+            yield _whole(list(dict.fromkeys(copies)))
 
 
 def _next_round(round_: int):
     def run(batches):
         for b in batches:
             parts, size = [], 0
-            for k1, k2, text, runs in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for row in zip(*b.columns):
+                k1, k2, text, runs = row[0].as_py(), row[1].as_py(), row[2].as_py(), row[3].values
                 data = _bytes(text)
-                a, lo, hi = (np.array([r[x] for r in runs], np.int64) for x in ("anchor", "lo", "hi"))
+                a, lo, hi = (runs.field(x).to_numpy().astype(np.int64) for x in ("anchor", "lo", "hi"))
+                rank = runs.field("key").to_numpy().view(np.uint64)
                 order = np.argsort(a, kind="stable")
-                a, lo, hi = a[order], lo[order], hi[order]
+                a, lo, hi, rank = a[order], lo[order], hi[order], rank[order]
                 block = (a - hi) // BLOCK
                 for k in np.unique(block).tolist():
-                    mine = block == k
-                    x, y, z = split(a[mine], lo[mine], hi[mine], STEPS[round_])
-                    base = int((x - z).min() // BLOCK * BLOCK)
-                    base = max(0, base - SPAN)
+                    mine = np.flatnonzero(block == k)
+                    x, y, z, of = split(a[mine], lo[mine], hi[mine], STEPS[round_])
+                    base = max(0, int((x - z).min() // BLOCK * BLOCK) - SPAN)
                     piece = data[base : (k + 1) * BLOCK + 2 * THRESHOLD + SPAN]
-                    key, hull = names(ByteHash(piece), x - base, y, z, round_)
+                    key, hull = names(ByteHash(piece), x - base, y, z, round_, rank[mine][of])
                     parts.append((key, hull, np.full(len(x), k1), np.full(len(x), k2), x, y, z))
                     size += len(x)
-                if size > 50_000:
-                    yield _batch(parts)
-                    parts, size = [], 0
+                    if size > 50_000:
+                        yield _batch(parts)
+                        parts, size = [], 0
             if parts:
                 yield _batch(parts)
 
     return run
 
 
-def _judge(rows: DataFrame, round_: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose strings all repeat, and rows for the next round: one for each hull of a core with several."""
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("hull").alias("h_min"), F.max("hull").alias("h_max")).filter("n > 1").drop("n")
+def _judge(rows: DataFrame, round_: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Ranges (k1, k2, start, end) that repeat, and rows for the next round: one for each hull of a core with several."""
+    ranked = rows.filter("key is not null")
+    shared = ranked.groupBy("key").agg(F.count("*").alias("n"), F.min("hull").alias("h_min"), F.max("hull").alias("h_max")).filter("n > 1").drop("n")
     shared = staged(shared, f"suffix_keys_{round_}")  # a table of its own, so that the join can split hot keys
-    left = staged(rows.join(shared, "key"), f"suffix_shared_{round_}")
+    left = staged(ranked.join(shared, "key"), f"suffix_shared_{round_}")
     even = left.filter("h_min = h_max")
     uneven = left.filter("h_min < h_max")
-    cols = ["k1", "k2", "anchor", "lo", "hi"]
+    cols = ["key", "k1", "k2", "anchor", "lo", "hi"]
     hulls = staged(uneven.groupBy("key", "hull").agg(F.count("*").alias("n"), F.min(F.struct(*cols)).alias("one")), f"suffix_hulls_{round_}")
     done = even.select(*cols).unionByName(uneven.join(hulls.filter("n > 1").select("key", "hull"), ["key", "hull"], "left_semi").select(*cols))
-    return done, hulls.select("one.*") if round_ + 1 < len(STEPS) else None
+    ranges = done.select("k1", "k2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("anchor") - F.col("lo") + THRESHOLD).alias("end"))
+    settled = rows.filter("key is null").select("k1", "k2", F.col("anchor").alias("start"), (F.col("anchor") + F.col("hi")).alias("end"))
+    return [ranges, settled], hulls.select("one.*") if round_ + 1 < len(STEPS) else None
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """k1, k2 (hashes of a text) and spans: starts and ends of byte ranges covered by repeated strings, unordered."""
     ship_package(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    keyed = docs.filter(F.octet_length(text) >= THRESHOLD).select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
+    keyed = docs.filter(F.octet_length(text) >= THRESHOLD).select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"), F.octet_length(text).alias("n"))
     rows = staged(keyed.mapInArrow(_first_round, ROW), "suffix_anchors")
-    done, open_ = _judge(rows, 0)
-    found = [done]
+    found, open_ = _judge(rows, 0)
     texts = None
     for round_ in range(1, len(STEPS)):
-        of_text = staged(open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("runs")), f"suffix_open_{round_}")
-        if texts is None:  # each text once: a hull that copies share stands in the next round for all of them
-            texts = staged(keyed.join(of_text.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text")), "suffix_texts")
+        of_text = staged(open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "anchor", "lo", "hi")).alias("runs")), f"suffix_open_{round_}")
+        if texts is None:
+            # Each text once: a hull that copies share stands in the next round for all of them. The keys of the
+            # grouping differ from those of the join, so the join may split a hot text, and tasks reduce its copies first.
+            wanted = keyed.join(of_text.select("k1", "k2"), ["k1", "k2"], "left_semi")
+            once = wanted.groupBy(F.bitwise_not("k1").alias("n1"), F.bitwise_not("k2").alias("n2")).agg(F.first("text").alias("text"))
+            texts = staged(once.select(F.bitwise_not("n1").alias("k1"), F.bitwise_not("n2").alias("k2"), "text"), "suffix_texts")
         rows = staged(texts.join(of_text, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_next_round(round_), ROW), f"suffix_rows_{round_}")
-        done, open_ = _judge(rows, round_)
-        found.append(done)
+        more, open_ = _judge(rows, round_)
+        found += more
     spans = found[0]
     for f in found[1:]:
         spans = spans.unionByName(f)
-    spans = spans.select("k1", "k2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("anchor") - F.col("lo") + THRESHOLD).alias("end"))
     return spans.groupBy("k1", "k2", "start").agg(F.max("end").alias("end")).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _cut(batches):
-    import hashlib
+def _cut(as_text: bool):
+    def run(batches):
+        names_ = ["n_removed", "n_spans", "kept", "kept_sha256"]
+        for b in batches:
+            n = b.num_columns
+            removed, count, kept, sha = [], [], [], []
+            for text, spans in zip(b.column(n - 2), b.column(n - 1)):
+                raw = encoded(text.as_py())
+                at, out, gone, runs = 0, [], 0, 0
+                if spans.values is not None and len(spans.values):
+                    start, end = (spans.values.field(x).to_numpy() for x in ("start", "end"))
+                    _, start, end = merge(np.zeros(len(start), np.int64), start, end)
+                    gone, runs = int((end - start).sum()), len(start)
+                    for s, e in zip(start.tolist(), end.tolist()):
+                        out.append(raw[at:s])
+                        at = e
+                out.append(raw[at:])
+                rest = b"".join(out)
+                removed.append(gone)
+                count.append(runs)
+                kept.append(rest.decode("utf-8", "replace") if as_text else rest)
+                sha.append(hashlib.sha256(rest).hexdigest())
+            cols = [pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n - 2)] + cols, names=b.schema.names[: n - 2] + names_)
 
-    names_ = ["n_removed", "n_spans", "kept", "kept_sha256"]
-    for b in batches:
-        n = b.num_columns
-        removed, count, kept, sha = [], [], [], []
-        for text, spans in zip(b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist()):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            gone, runs, at, out = 0, 0, 0, []
-            stop = -1
-            for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-                if s > stop:
-                    if stop >= 0:
-                        gone, runs = gone + stop - begin, runs + 1
-                        out.append(raw[at:begin])
-                        at = stop
-                    begin, stop = s, e
-                else:
-                    stop = max(stop, e)
-            if stop >= 0:
-                gone, runs = gone + stop - begin, runs + 1
-                out.append(raw[at:begin])
-                at = stop
-            out.append(raw[at:])
-            rest = b"".join(out)
-            removed.append(gone)
-            count.append(runs)
-            kept.append(rest)
-            sha.append(hashlib.sha256(rest).hexdigest())
-        cols = [pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())]
-        yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n - 2)] + cols, names=b.schema.names[: n - 2] + names_)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) unless digest_only.
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the remaining bytes.
+
+    as_text: kept is a string, in which a character that a cut has split shows as U+FFFD.
 
     Every byte in a string of 400 bytes that starts anywhere else too goes. Null texts count as empty; texts under
     400 bytes lose nothing. Rows are documents of their own, so a row that occurs twice loses all it can. Null and
-    repeated ids pass through. Other input columns are ignored, whatever their names.
+    repeated ids pass through. Very long texts are worked on in blocks. An empty table gives an empty result. Other
+    input columns are ignored, whatever their names.
     """
     text = F.col(f"`{text_col}`")
-    spans = repeated_spans(docs, text_col)
+    spans = staged(repeated_spans(docs, text_col), "suffix_spans")  # a table of its own, so that the join can split hot keys
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     joined = base.join(spans, ["k1", "k2"], "left").select("doc_id", "n_bytes", "text", "spans")
     kind = joined.schema["doc_id"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.drop("kept") if digest_only else out
+    return joined.mapInArrow(_cut(as_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string")
