@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from . import config as settings
 from .operators.groups import GroupOptions
 from .operators.matching import MatchOptions
-from .service import Resolver
+from .service import Linker
 from .sources.json_io import pretty, read_entities
 
 VERSION = "0.1.0"
@@ -33,10 +33,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(args: list[str] | None = None, spark: SparkSession | None = None, resolver: Resolver | None = None) -> None:
+def main(args: list[str] | None = None, spark: SparkSession | None = None, linker: Linker | None = None) -> None:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("entwine").getOrCreate()
-    r = resolver or Resolver(spark, settings.load(a.config), embedder=None)
+    r = linker or Linker(spark, settings.load(a.config), embedder=None)
     m = r.config.matching
     options = MatchOptions(limit=a.limit or m.default_limit, threshold=a.threshold or m.similarity_threshold, include_field_scores=a.field_scores)
     if a.ingest:

@@ -111,8 +111,8 @@ def _merge(into, values: dict) -> None:
             setattr(into, f.name, new)
 
 
-def load(path: str | None = None, env_prefix: str = "RESOLVE_") -> Config:
-    """Defaults, then the file if it can be read, then variables such as RESOLVE_MATCHING_DEFAULT_LIMIT."""
+def load(path: str | None = None, env_prefix: str = "ENTWINE_") -> Config:
+    """Defaults, then the file if it can be read, then variables such as ENTWINE_MATCHING_DEFAULT_LIMIT."""
     out = Config()
     if path and os.path.isfile(path):
         with open(path, encoding="utf-8") as f:

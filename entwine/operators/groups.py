@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import staged
+from ..plans.shared import drop_staged, staged
 
 
 @dataclass(frozen=True)
@@ -33,11 +34,27 @@ def _capped(members: DataFrame, max_size: int | None) -> DataFrame:
     return members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_size).drop("n")
 
 
-def _walk(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Breadth first from (group_id, id, score, hop_distance); first visit counts, best edge from the last hop."""
-    seen, frontier = start, start
+Neighbours = Callable[[DataFrame], DataFrame]
+
+
+def _near(edges: DataFrame | Neighbours, frontier: DataFrame, least: float) -> DataFrame:
+    """Edges from the ids of a frontier: of a table, or asked for just these."""
+    if isinstance(edges, DataFrame):
+        return edges.filter(F.col("score") >= least)
+    return edges(frontier.select("id").distinct()).filter((F.col("score") >= least) & (F.col("src") != F.col("dst")))
+
+
+def _walk(start: DataFrame, edges: DataFrame | Neighbours, least: float, hops: int, max_size: int | None) -> DataFrame:
+    """Breadth first from (group_id, id, score, hop_distance); first visit counts, best edge from the last hop.
+
+    Groups that have reached max_size go no further.
+    """
+    seen = frontier = start
     for _ in range(hops):
-        step = frontier.select("group_id", F.col("id").alias("src"), "hop_distance").join(edges, "src").groupBy("group_id", F.col("dst").alias("id")).agg(F.max("score").alias("score"), (F.min("hop_distance") + 1).alias("hop_distance"))
+        if max_size is not None:
+            full = seen.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") >= max_size).select("group_id")
+            frontier = frontier.join(full, "group_id", "left_anti")
+        step = frontier.select("group_id", F.col("id").alias("src"), "hop_distance").join(_near(edges, frontier, least), "src").groupBy("group_id", F.col("dst").alias("id")).agg(F.max("score").alias("score"), (F.min("hop_distance") + 1).alias("hop_distance"))
         frontier = staged(step.join(seen.select("group_id", "id"), ["group_id", "id"], "left_anti").select("group_id", "id", "score", "hop_distance"), "group_frontier")
         if frontier.isEmpty():
             break
@@ -45,25 +62,26 @@ def _walk(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def match_groups(seeds: DataFrame, edges: DataFrame, options: GroupOptions = GroupOptions()) -> DataFrame:
-    """group_id, id, score, hop_distance: members of the group of each seed (column id), seed first with score 1."""
-    primary = seeds.select(F.col("id").alias("group_id"), "id", F.lit(1.0).alias("score"), F.lit(0).alias("hop_distance")).distinct()
-    strong = edges.filter(F.col("score") >= options.threshold)
+def match_groups(seeds: DataFrame, edges: DataFrame | Neighbours, options: GroupOptions = GroupOptions()) -> DataFrame:
+    """group_id, id, score, hop_distance: members of the group of each seed (column id), seed first with score 1.
+
+    edges: src, dst, score; or a function from ids to their edges, which is asked for each hop's frontier alone.
+    """
+    most = options.max_size
+    primary = staged(seeds.select(F.col("id").alias("group_id"), "id", F.lit(1.0).alias("score"), F.lit(0).alias("hop_distance")).distinct(), "group_seeds")
     if options.strategy == "direct":
-        out = _walk(primary, strong, 1)
+        out = _walk(primary, edges, options.threshold, 1, most)
     elif options.strategy == "transitive":
-        out = _walk(primary, strong, options.hops)
+        out = _walk(primary, edges, options.threshold, options.hops, most)
     elif options.strategy == "hybrid":
-        direct = _walk(primary, edges.filter(F.col("score") >= max(options.threshold, options.direct_floor)), 1)
+        out = direct = _walk(primary, edges, max(options.threshold, options.direct_floor), 1, most)
         if options.hops > 1:
             near = direct.filter("hop_distance = 1")
-            far = _walk(near, strong, options.hops - 1).join(direct.select("group_id", "id"), ["group_id", "id"], "left_anti")
+            far = _walk(near, edges, options.threshold, options.hops - 1, most).join(direct.select("group_id", "id"), ["group_id", "id"], "left_anti")
             out = direct.unionByName(far)
-        else:
-            out = direct
     else:
         raise ValueError(f"unknown group strategy: {options.strategy}")
-    return _capped(out, options.max_size)
+    return _capped(out, most)
 
 
 def group_stats(members: DataFrame) -> DataFrame:
@@ -101,6 +119,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = now.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = low.join(now.select(F.col("id").alias("c"), F.col("c").alias("up")), "c", "left")
         after = staged(jump.select("id", F.least("c", F.coalesce("up", "c")).alias("c"), "old"), "component_labels")
+        drop_staged(now)
         if after.filter("c <> old").isEmpty():
             return after.select("id", F.col("c").alias("component"))
         now = after.select("id", "c")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.normalize import EMAIL, LEGAL_SUFFIX, PHONE, STATES, STOPWORDS, STREETS, UNIT
-from ..functions.similarity import DIRECTIONS, NAME_PARTS, STREET_TYPES
+from ..functions.similarity import ALIASES, DIRECTIONS, FIELD_TYPES, NAME_PARTS, STREET_TYPES
 from .fixture import ENTITY_SQL, FIELDS, PAIR_SQL
 
 ENTS = "ents AS (" + ENTITY_SQL.format(customer="customer", part="part", nation="nation") + ")"
@@ -209,7 +209,7 @@ def cos(a: str, b: str) -> str:
 ASKED = "asked AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0)"
 SCORES = f"scores AS (SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS q_label, e.label, {cos('q.embedding', 'e.embedding')} AS score FROM asked q, embeddings e)"
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM scores)"
-EDGES = f"edges AS (SELECT x.vec_id AS src, y.vec_id AS dst, {cos('x.embedding', 'y.embedding')} AS score FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id AND x.label = y.label)"
+EDGES = f"edges AS (SELECT x.vec_id AS src, y.vec_id AS dst, {cos('x.embedding', 'y.embedding')} AS score FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id)"
 
 
 def group_ctes(direct: float, rest: float, hops: int) -> str:
@@ -273,7 +273,7 @@ def build() -> dict[str, str]:
     out["ingest_pipeline"] = with_(*prepared) + f"SELECT id, {', '.join(ALL_FIELDS)}, cluster_id, text, round(list_sum(list_transform(vector, lambda x: x::double)), 6) AS vector_sum, 0::BIGINT AS created_at, 0::BIGINT AS updated_at FROM ready"
     pair_scores = f"found AS (SELECT q.id AS query_id, e.id, {cos('q.vector', 'e.vector')} AS score, e.name FROM queries q, ready e WHERE {{where}})"
     best = "best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM found)"
-    out["match_text"] = with_(*prepared, f"queries AS (SELECT item_id AS id, {VECTOR_OF_NAME.format('text')} AS vector FROM benchmark)", pair_scores.format(where="true"), best) + "SELECT query_id, id, rank, round(score, 6) AS score FROM best WHERE rank <= 10 AND score >= 0.5"
+    out["match_text"] = with_(*prepared, f"queries AS (SELECT item_id AS id, {VECTOR_OF_NAME.format('text')} AS vector FROM benchmark)", pair_scores.format(where="true"), best) + "SELECT query_id, id, rank, round(score, 6) AS score FROM best WHERE rank <= 10 AND score >= 0.9"
     out["match_entity"] = with_(*prepared, "queries AS (SELECT * FROM ready WHERE CAST(substr(id, 2) AS INT) % 50 = 0)", pair_scores.format(where="q.cluster_id = e.cluster_id"), best) + "SELECT query_id, id, rank, round(score, 6) AS score FROM best WHERE rank <= 10 AND score >= 0.85"
     out["match_topk_ranked"] = with_(*prepared, "queries AS (SELECT * FROM ready WHERE CAST(substr(id, 2) AS INT) % 50 = 0)", pair_scores.format(where="true"), best) + "SELECT query_id, id, rank, round(score, 6) AS score FROM best WHERE rank <= 5"
     conf = "CASE WHEN score >= 0.9 THEN 'high' WHEN score < 0.7 THEN 'low' ELSE 'medium' END"
@@ -292,8 +292,12 @@ UNION ALL SELECT id, 'segment', trim(regexp_extract(t, 'segment=([^;,]*)', 1)) F
     ctes, joins = all_scores(exact_name=True)
     out["field_scores_exact_override"] = with_(ENTS, PAIRS, *ctes, recursive=True) + f"SELECT p.id_a, p.id_b, {scored} FROM {joins}"
     # Groups
-    for key, a, b, hops in (("group_direct", 0.3, 0.3, 1), ("group_transitive", 0.3, 0.3, 3), ("group_hybrid", 0.35, 0.3, 3)):
+    for key, a, b, hops in (("group_direct", 0.3, 0.3, 1), ("group_transitive", 0.3, 0.3, 3)):
         out[key] = with_(ASKED, EDGES, group_ctes(a, b, hops)) + f"SELECT group_id, id, round(score, 6) AS score, hop AS hop_distance FROM g{hops}"
+    # Walks start anew at the direct members, so they may pass the seed.
+    from_direct = group_ctes(0.3, 0.3, 2).replace("SELECT vec_id AS group_id, vec_id AS id, 1.0::double AS score, 0 AS hop FROM asked", "SELECT d.vec_id AS group_id, e.dst AS id, e.score, 0 AS hop FROM asked d JOIN edges e ON e.src = d.vec_id AND e.score >= 0.35")
+    out["group_hybrid"] = with_(ASKED, EDGES, from_direct) + "SELECT vec_id AS group_id, vec_id AS id, 1.0::DOUBLE AS score, 0 AS hop_distance FROM asked UNION ALL SELECT group_id, id, round(score, 6), hop + 1 FROM g2 WHERE id <> group_id"
+    out["group_capped"] = with_(ASKED, EDGES, group_ctes(0.3, 0.3, 3)) + "SELECT group_id, id, round(score, 6) AS score, hop AS hop_distance FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY hop, score DESC, id) AS n FROM g3) WHERE n <= 8"
     out["group_stats"] = with_(ASKED, EDGES, group_ctes(0.3, 0.3, 3)) + "SELECT group_id, round(avg(score), 6) AS score, count(*) AS size FROM g3 GROUP BY group_id"
     block_groups = [ENTS, NORM, BLOCKED, "members AS (SELECT cluster_id AS group_id, id, 1.0::double AS score FROM blocked)"]
     long = "long AS (" + " UNION ALL ".join(f"SELECT cluster_id AS group_id, {q(f)} AS field, {f} AS value FROM blocked WHERE {f} <> ''" for f in ALL_FIELDS) + ")"
@@ -304,11 +308,33 @@ UNION ALL SELECT id, 'segment', trim(regexp_extract(t, 'segment=([^;,]*)', 1)) F
     out["field_agreement"] = with_(*block_groups, long, counted, mode, sizes) + "SELECT group_id, field, value, round(n::double / size, 6) AS agreement, round(n::double / size, 6) AS confidence FROM modes JOIN sizes USING (group_id) WHERE r = 1"
     gold = ", ".join(f"max(CASE WHEN field = {q(f)} THEN value END) AS {f}" for f in FIELDS)
     out["golden_record"] = with_(*block_groups, long, counted, mode) + f"SELECT group_id, {gold} FROM modes WHERE r = 1 GROUP BY group_id"
-    out["all_components"] = with_(EDGES.replace(" AND x.label = y.label", " AND x.label = y.label AND x.vec_id > y.vec_id"), "walk AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT e.src, w.root FROM walk w JOIN (SELECT src, dst FROM edges WHERE score >= 0.35 UNION ALL SELECT dst, src FROM edges WHERE score >= 0.35) e ON e.dst = w.id)", recursive=True) + "SELECT id, min(root) AS component FROM walk GROUP BY id HAVING count(*) > 1"
+    out["all_components"] = with_(EDGES.replace("x.vec_id <> y.vec_id", "x.vec_id > y.vec_id"), "walk AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT e.src, w.root FROM walk w JOIN (SELECT src, dst FROM edges WHERE score >= 0.35 UNION ALL SELECT dst, src FROM edges WHERE score >= 0.35) e ON e.dst = w.id)", recursive=True) + "SELECT id, min(root) AS component FROM walk GROUP BY id HAVING count(*) > 1"
     # Store
     out["entity_count"] = with_(ENTS) + "SELECT count(*) AS entities FROM ents"
+    out["entity_get"] = with_(ENTS) + "SELECT * FROM ents WHERE id = 'a00000007'"
     out["entity_lookup"] = with_(ENTS) + "SELECT e.* FROM ents e JOIN (SELECT concat('a', lpad(CAST(o_custkey AS STRING), 8, '0')) AS id, count(*) AS n FROM orders GROUP BY 1) o ON o.id = e.id"
     out["entity_list_page"] = with_(ENTS) + "SELECT id, name FROM ents ORDER BY id LIMIT 100 OFFSET 50"
-    out["entity_update"] = with_(ENTS) + "SELECT e.id, coalesce(u.name, e.name) AS name, coalesce(u.zip, e.zip) AS zip FROM ents e LEFT JOIN (SELECT concat('a', substr(id, 2)) AS id, name, zip FROM ents WHERE id LIKE 'b%') u ON u.id = e.id"
+    out["entity_update"] = with_(ENTS) + "SELECT e.id, coalesce(u.name, e.name) AS name, coalesce(u.zip, e.zip) AS zip, e.phone FROM ents e LEFT JOIN (SELECT concat('a', substr(id, 2)) AS id, name, zip FROM ents WHERE id LIKE 'b%') u ON u.id = e.id"
+    twins = "twins AS (SELECT substr(id, 2) AS k, name, zip FROM ents WHERE id LIKE 'b%')"
+    even = "FROM twins WHERE CAST(k AS INT) % 2 = 0"
+    out["entity_upsert"] = with_(ENTS, twins) + f"""SELECT id, name, zip, phone FROM ents WHERE id NOT IN (SELECT concat('a', k) FROM twins)
+UNION ALL SELECT concat('a', k), name, zip, NULL FROM twins UNION ALL SELECT concat('c', k), name, zip, NULL {even}
+UNION ALL SELECT DISTINCT 'new', name, zip, NULL {even} AND k LIKE '%2'"""
     out["entity_delete"] = with_(ENTS) + "SELECT id, name FROM ents WHERE id NOT LIKE 'b%'"
+    # JSON
+    out["json_entities"] = with_(ENTS) + f"SELECT id, {', '.join(FIELDS)}, 'view' AS source FROM ents"
+    fields_m = ", ".join(f"m.{f}" for f in FIELDS)
+    on_m = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN m.{f} <> '' THEN {q(f)} ELSE '' END" for f in sorted(FIELDS)) + "], lambda x: x <> ''), '{0}')"
+    found = [*prepared, "queries AS (SELECT * FROM ready WHERE CAST(substr(id, 2) AS INT) % 50 = 0)", pair_scores.format(where="q.cluster_id = e.cluster_id"), best]
+    joined = "FROM best b JOIN ents m ON m.id = b.id JOIN ents q ON q.id = b.query_id WHERE rank <= 3 AND score >= 0.85"
+    out["match_projection"] = with_(*found) + f"SELECT query_id, b.id, rank, round(score, 6) AS score, round(score, 6) AS vector_score, {on_m.format(',')} AS matched_on, concat('Matched with ', {conf}, ' confidence (', printf('%.2f', score), ') on fields: ', {on_m.format(', ')}) AS explanation, {fields_m}, CASE WHEN q.phone <> '' THEN (q.phone = m.phone)::int::double END AS score_phone, CASE WHEN q.zip <> '' THEN round({zipcode('q.zip', 'm.zip')}, 6) END AS score_zip {joined}"
+    out["json_matches"] = with_(*found) + f"SELECT query_id, b.id, rank, {on_m.format(',')} AS matched_on {joined}"
+    out["json_groups"] = with_(*block_groups, long, counted, mode, sizes) + "SELECT group_id, size, ids, value AS name, round(n::double / size, 6) AS agreement FROM modes JOIN sizes USING (group_id) JOIN (SELECT group_id, string_agg(id, ',' ORDER BY id) AS ids FROM members GROUP BY group_id) USING (group_id) WHERE r = 1 AND field = 'name'"
+    # Registry and options
+    listed = lambda kind, table: [f"({q(kind)}, {q(a.upper())}, {q(n)})" for n, xs in table.items() for a in xs.split()] + [f"({q(kind)}, 'UNKNOWN', 'JaroWinkler')"]
+    out["similarity_registry"] = f"SELECT * FROM (VALUES {', '.join(listed('name', ALIASES) + listed('type', FIELD_TYPES))}) t(kind, alias, fn)"
+    out["field_scores_self"] = with_(ENTS, PAIRS) + "SELECT id_a, id_b, " + ", ".join(f"CASE WHEN {f}_b <> '' THEN 1.0::DOUBLE END AS score_{f}" for f in FIELDS) + " FROM pairs"
+    typed = {"city": phone, "state": zipcode, "zip": phone}
+    out["field_scores_by_type"] = with_(ENTS, PAIRS) + "SELECT id_a, id_b, " + ", ".join(f"CASE WHEN {f}_a <> '' THEN round({fn(f'{f}_a', f'{f}_b')}, 6) END AS score_{f}" for f, fn in typed.items()) + " FROM pairs"
+    out["filter_conjunction_search"] = with_(ASKED, SCORES, "inside AS (SELECT * FROM scores WHERE q_label = label AND query_id % 2 = id % 2)", RANKED.replace("FROM scores", "FROM inside")) + "SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10"
     return out

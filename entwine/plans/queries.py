@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,11 @@ from ..functions.vector import check_dimension, cosine, mock_embedding
 from ..operators import blocking as B
 from ..operators import groups as G
 from ..operators import matching as M
-from ..operators.search import top_k, top_k_in_block
+from ..operators.search import similar, similar_pairs, top_k, top_k_in_block
+from ..sources.json_io import read_entities, to_json_rows, write_json
+from ..sources.store import EntityStore
 from .fixture import FIELDS, entities, entity_pairs
-from .shared import ship_package, staged
+from .shared import shared_dir, ship_package, staged
 
 DIM = 16
 ALL_FIELDS = sorted([*FIELDS, *[f"{f}_normalized" for f in FIELDS]])
@@ -112,6 +116,15 @@ def infer_similarity_fn(spark, sf_dir):
     return df.select("field", S.infer_column(F.col("field")).alias("fn"))
 
 
+@query
+def similarity_registry(spark, sf_dir):
+    """Comparators by their other names and by field types; unknown ones get the default."""
+    names = sorted({a.upper() for x in S.ALIASES.values() for a in x.split()} | {"UNKNOWN"})
+    types = sorted({t.upper() for x in S.FIELD_TYPES.values() for t in x.split()} | {"UNKNOWN"})
+    rows = [("name", n, S.by_name(n)) for n in names] + [("type", t, S.by_field_type(t)) for t in types]
+    return spark.createDataFrame(rows, "kind string, alias string, fn string")
+
+
 # Vectors
 def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
@@ -121,7 +134,7 @@ def _vectors(spark, sf_dir):
 @query
 def vector_cosine(spark, sf_dir):
     rows, asked = _vectors(spark, sf_dir)
-    return top_k(asked, rows, 2**31 - 1).select("query_id", "id", rounded("score").alias("score"))
+    return similar(asked, rows, -2.0).select("query_id", "id", rounded("score").alias("score"))
 
 
 @query
@@ -149,6 +162,13 @@ def block_filtered_search(spark, sf_dir):
     return top_k_in_block(asked, rows, 10, "label").select("query_id", "id", rounded("score").alias("score"), "rank")
 
 
+@query
+def filter_conjunction_search(spark, sf_dir):
+    """Several equality filters at once."""
+    rows, asked = (df.withColumn("half", F.col(c) % 2) for df, c in zip(_vectors(spark, sf_dir), ("id", "query_id")))
+    return top_k_in_block(asked, rows, 10, ["label", "half"]).select("query_id", "id", rounded("score").alias("score"), "rank")
+
+
 @query
 def vector_match_explain(spark, sf_dir):
     rows, asked = _vectors(spark, sf_dir)
@@ -213,10 +233,23 @@ def ingest_pipeline(spark, sf_dir):
 @query
 def match_text(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), mock_embedding(F.col("text"), DIM).alias("vector"), F.lit(B.DEFAULT_BLOCK).alias("cluster_id"))
-    out = M.find_matches(asked, _ready(spark, sf_dir), M.MatchOptions(limit=10, threshold=0.5))
+    out = M.find_matches(asked, _ready(spark, sf_dir), M.MatchOptions(limit=10, threshold=0.9))
     return out.select("query_id", "id", "rank", rounded("score").alias("score"))
 
 
+def match_rows(spark, sf_dir):
+    """Matches inside blocks with all columns of the result."""
+    ready = _ready(spark, sf_dir)
+    options = M.MatchOptions(limit=3, threshold=0.85, include_field_scores=True, exact_fields=("phone",))
+    return M.find_matches(_asked(ready), ready, options, clustering=True)
+
+
+@query
+def match_projection(spark, sf_dir):
+    out = match_rows(spark, sf_dir)
+    return out.select("query_id", "id", "rank", rounded("score").alias("score"), rounded("vector_score").alias("vector_score"), F.array_join("matched_on", ",").alias("matched_on"), "explanation", *FIELDS, rounded("score_phone").alias("score_phone"), rounded("score_zip").alias("score_zip"))
+
+
 def _asked(ready):
     return ready.filter("CAST(substr(id, 2) AS INT) % 50 = 0").withColumnRenamed("id", "query_id")
 
@@ -275,6 +308,19 @@ def field_scores_exact_override(spark, sf_dir):
     return _score_columns(M.field_scores(_pairs_qm(spark, sf_dir), list(FIELDS), M.MatchOptions(exact_fields=("name",))))
 
 
+@query
+def field_scores_self(spark, sf_dir):
+    return _score_columns(M.field_scores(_pairs_qm(spark, sf_dir), list(FIELDS), M.MatchOptions(self_scores=True)))
+
+
+@query
+def field_scores_by_type(spark, sf_dir):
+    """Comparators named by the type that the options give a field."""
+    options = M.MatchOptions(field_types={"city": "phone_number", "state": "postal_code", "zip": "mobile"})
+    out = M.field_scores(_pairs_qm(spark, sf_dir), ["city", "state", "zip"], options)
+    return out.select("id_a", "id_b", *[rounded(f"score_{f}").alias(f"score_{f}") for f in ("city", "state", "zip")])
+
+
 @query
 def weighted_score(spark, sf_dir):
     scored = M.field_scores(_pairs_qm(spark, sf_dir), list(FIELDS))
@@ -291,21 +337,19 @@ def blended_score(spark, sf_dir):
 
 
 # Groups
-def _edges(spark, sf_dir):
-    """Similar vectors of the same label; labels act as blocks."""
-    v = table(spark, sf_dir, "embeddings")
-    x = v.select("label", F.col("vec_id").alias("src"), F.col("embedding").alias("a"))
-    y = v.select("label", F.col("vec_id").alias("dst"), F.col("embedding").alias("b"))
-    return x.join(y, "label").filter("src <> dst").select("src", "dst", cosine(F.col("a"), F.col("b")).alias("score"))
-
-
 def _seeds(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"))
 
 
-def _group(spark, sf_dir, **options):
-    edges = staged(_edges(spark, sf_dir).filter("score >= 0.3"), "edges")
-    return G.match_groups(_seeds(spark, sf_dir), edges, G.GroupOptions(threshold=0.3, max_size=None, **options))
+def _group(spark, sf_dir, max_size=None, **options):
+    """Neighbours of each frontier are searched among all vectors."""
+    rows, _ = _vectors(spark, sf_dir)
+
+    def near(ids):
+        asked = rows.join(ids, "id").withColumnRenamed("id", "query_id")
+        return similar(asked, rows, 0.3).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
+
+    return G.match_groups(_seeds(spark, sf_dir), near, G.GroupOptions(threshold=0.3, max_size=max_size, **options))
 
 
 def _members(df):
@@ -327,6 +371,11 @@ def group_hybrid(spark, sf_dir):
     return _members(_group(spark, sf_dir, strategy="hybrid", hops=3, direct_floor=0.35))
 
 
+@query
+def group_capped(spark, sf_dir):
+    return _members(_group(spark, sf_dir, max_size=8, strategy="transitive", hops=3))
+
+
 @query
 def group_stats(spark, sf_dir):
     return G.group_stats(_group(spark, sf_dir, strategy="transitive", hops=3)).select("group_id", rounded("score").alias("score"), "size")
@@ -355,42 +404,98 @@ def golden_record(spark, sf_dir):
 
 @query
 def all_components(spark, sf_dir):
-    pairs = _edges(spark, sf_dir).filter("score >= 0.35 and src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return G.components(pairs)
+    return G.components(similar_pairs(_vectors(spark, sf_dir)[0], 0.35))
+
+
+# Store: on collections of their own, in the shared folder
+def _store(spark, sf_dir):
+    """A collection that holds the entities, in two appends."""
+    store = EntityStore(spark, f"{shared_dir(spark)}/entwine/collection-{uuid.uuid4().hex}", buckets=8)
+    store.create()
+    e = entities(spark, sf_dir)
+    store.add(e.filter("id LIKE 'a%'"))
+    store.add(e.filter("id LIKE 'b%'"))
+    return store
+
+
+def _twins(spark, sf_dir):
+    """What the dirty twins would change of the clean records."""
+    return entities(spark, sf_dir).filter("id LIKE 'b%'").withColumn("id", F.concat(F.lit("a"), F.substring("id", 2, 8)))
 
 
-# Store
 @query
 def entity_count(spark, sf_dir):
-    return entities(spark, sf_dir).agg(F.count("*").alias("entities"))
+    return spark.createDataFrame([(_store(spark, sf_dir).count(),)], "entities long")
+
+
+@query
+def entity_get(spark, sf_dir):
+    return _store(spark, sf_dir).get("a00000007").select("id", *FIELDS)
 
 
 @query
 def entity_lookup(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("id")).distinct()
-    return entities(spark, sf_dir).join(ids, "id", "left_semi")
+    return _store(spark, sf_dir).get_all(ids).select("id", *FIELDS)
 
 
 @query
 def entity_list_page(spark, sf_dir):
-    return entities(spark, sf_dir).select("id", "name").orderBy("id").offset(50).limit(100)
+    return _store(spark, sf_dir).list(50, 100).select("id", "name")
 
 
 @query
 def entity_update(spark, sf_dir):
-    from ..sources.store import merged
+    store = _store(spark, sf_dir)
+    store.update(_twins(spark, sf_dir).select("id", "name", "zip"))
+    return store.read().select("id", "name", "zip", "phone")
 
-    e = entities(spark, sf_dir)
-    changes = e.filter("id LIKE 'b%'").withColumn("id", F.concat(F.lit("a"), F.substring("id", 2, 8))).select("id", "name", "zip")
-    return merged(e.select("id", "name", "zip"), changes)
+
+@query
+def entity_upsert(spark, sf_dir):
+    """Whole records: known ids are replaced, unknown ones and blank ones added."""
+    store = _store(spark, sf_dir)
+    twins = _twins(spark, sf_dir)
+    new = twins.filter("CAST(substr(id, 2) AS INT) % 2 = 0").withColumn("id", F.concat(F.lit("c"), F.substring("id", 2, 8)))
+    store.upsert(twins.unionByName(new).unionByName(new.filter("id LIKE '%2'").withColumn("id", F.lit(""))).select("id", "name", "zip"))
+    return store.read().select(F.when(F.length("id") == 64, F.lit("new")).otherwise(F.col("id")).alias("id"), "name", "zip", "phone")
 
 
 @query
 def entity_delete(spark, sf_dir):
-    from ..sources.store import without
+    store = _store(spark, sf_dir)
+    store.delete(entities(spark, sf_dir).filter("id LIKE 'b%'").select("id"))
+    return store.read().select("id", "name")
 
+
+# JSON
+@query
+def json_entities(spark, sf_dir):
+    """Entities written as JSON and read again, through the record projection."""
     e = entities(spark, sf_dir)
-    return without(e, e.filter("id LIKE 'b%'").select("id")).select("id", "name")
+    pairs = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])
+    path = f"{shared_dir(spark)}/entwine/json-{uuid.uuid4().hex}"
+    write_json(e.select("id", pairs.alias("fields"), F.create_map(F.lit("source"), F.lit("view")).alias("metadata")), path)
+    return M.flatten(read_entities(spark, path, lines=True)).select("id", *FIELDS, F.element_at("metadata", "source").alias("source"))
+
+
+@query
+def json_matches(spark, sf_dir):
+    """Matches as JSON rows, read back field by field."""
+    found = match_rows(spark, sf_dir).select("query_id", "id", "rank", "matched_on")
+    got = F.from_json("json", "query_id string, id string, rank long, matched_on array<string>")
+    return to_json_rows(found).select(got.alias("j")).select("j.query_id", "j.id", "j.rank", F.array_join("j.matched_on", ",").alias("matched_on"))
+
+
+@query
+def json_groups(spark, sf_dir):
+    """Blocks as groups in JSON, with members in order and the agreement of the name."""
+    members, blocked = _block_groups(spark, sf_dir)
+    members = members.withColumn("hop_distance", F.lit(0))
+    rows = G.as_json(members, G.field_agreement(members, blocked, ["name"]))
+    got = F.from_json("json", "id string, size long, entities array<struct<id:string>>, sample_fields map<string,struct<value:string,agreement:double>>").alias("j")
+    name = F.col("j.sample_fields")["name"]
+    return rows.select(got).select(F.col("j.id").alias("group_id"), "j.size", F.array_join("j.entities.id", ",").alias("ids"), name["value"].alias("name"), rounded(name["agreement"]).alias("agreement"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,13 @@ from .config import Config
 from .functions.normalize import normalize_entity
 from .functions.vector import check_dimension
 from .operators import blocking, groups, matching
-from .operators.search import top_k
+from .operators.search import top_k, top_k_in_block
 from .plans.shared import ship_package, staged
 from .sources.embedder import embed_texts, http_client
 from .sources.store import EntityStore
 
 
-class Resolver:
+class Linker:
     """embedder: a function of a DataFrame with `text` that adds `vector`; None: the configured service; "mock"."""
 
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder="mock"):
@@ -26,7 +26,7 @@ class Resolver:
         self.dim = self.config.embedding.embedding_dim
         self.store = EntityStore(spark, self.config.store.path, self.config.store.class_name)
         e = self.config.embedding
-        self.embedder = None if embedder == "mock" else embedder or (lambda df: embed_texts(df, lambda: http_client(e.url, e.model_name, e.timeout), e.embedding_dim, e.batch_size))
+        self.embedder = None if embedder == "mock" else embedder or (lambda df: embed_texts(df, lambda: http_client(e.url, e.model_name, e.timeout), e.embedding_dim, e.batch_size, cache_size=e.cache_size, cache_name=f"{e.url} {e.model_name}"))
 
     # Entities
     def _flat(self, entities: DataFrame) -> DataFrame:
@@ -57,6 +57,10 @@ class Resolver:
             self._check(changes)
         self.store.update(changes)
 
+    def upsert_entities(self, entities: DataFrame) -> None:
+        """Normalizes, embeds and blocks whole records and puts them in the place of those with their ids; others are added."""
+        self.store.upsert(self._prepared(entities).drop("text"))
+
     def delete_entities(self, ids: DataFrame) -> None:
         self.store.delete(ids)
 
@@ -99,20 +103,16 @@ class Resolver:
         return matching.find_matches(query, self.store.read(), options, self.config.clustering.enabled)
 
     # Groups
-    def edges(self, threshold: float, limit: int = 100, seeds: DataFrame | None = None) -> DataFrame:
-        """src, dst, score for the best matches of each stored record (or of the seeds), inside blocks if enabled."""
+    def edges(self, seeds: DataFrame | None = None, limit: int = 100) -> DataFrame:
+        """src, dst, score for the best matches of the seeds (column id), or of each stored record; inside blocks if enabled."""
         rows = self.store.read()
         asked = (rows.join(seeds.select("id"), "id", "left_semi") if seeds is not None else rows).withColumnRenamed("id", "query_id")
-        if self.config.clustering.enabled:
-            from .operators.search import top_k_in_block
-
-            found = top_k_in_block(asked, rows, limit, "cluster_id")
-        else:
-            found = top_k(asked, rows, limit)
-        return found.filter((F.col("score") >= threshold) & (F.col("query_id") != F.col("id"))).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
+        found = top_k_in_block(asked, rows, limit, "cluster_id") if self.config.clustering.enabled else top_k(asked, rows, limit)
+        return found.filter(F.col("query_id") != F.col("id")).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
 
     def match_groups(self, seeds: DataFrame, options: groups.GroupOptions = groups.GroupOptions()) -> DataFrame:
-        return groups.match_groups(seeds, staged(self.edges(options.threshold, options.max_size or 100), "edges"), options)
+        """Only the frontier of each hop is searched for."""
+        return groups.match_groups(seeds, lambda ids: self.edges(ids, options.max_size or 100), options)
 
     def group_json(self, seeds: DataFrame, options: groups.GroupOptions = groups.GroupOptions()) -> DataFrame:
         members = staged(self.match_groups(seeds, options), "members")

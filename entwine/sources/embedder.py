@@ -35,12 +35,31 @@ def http_client(url: str, model: str, timeout: int = 30, retries: int = 2) -> Cl
     return ask
 
 
-def embed_texts(df: DataFrame, client: Callable[[], Client], dim: int, batch_size: int = 32, text: str = "text") -> DataFrame:
-    """Adds `vector`. client() is called on the executors. Null and empty texts get the zero vector."""
+_cache: dict[tuple[str, str], list[float]] = {}
+
+
+def cached(ask: Client, name: str, size: int) -> Client:
+    """Remembers up to `size` embeddings in the process, for the later calls of all tasks that it runs; then takes in no more."""
+
+    def answer(texts: list[str]) -> list[list[float]]:
+        new = [t for t in dict.fromkeys(texts) if (name, t) not in _cache]
+        got = dict(zip(new, ask(new))) if new else {}
+        for t in new[: max(0, size - len(_cache))]:
+            _cache[name, t] = got[t]
+        return [got[t] if t in got else _cache[name, t] for t in texts]
+
+    return answer
+
+
+def embed_texts(df: DataFrame, client: Callable[[], Client], dim: int, batch_size: int = 32, text: str = "text", cache_size: int = 0, cache_name: str = "") -> DataFrame:
+    """Adds `vector`. client() is called on the executors. Null and empty texts get the zero vector.
+
+    cache_size: how many embeddings each Python process of the executors remembers under cache_name (the model).
+    """
     distinct = df.filter(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(text).alias("__t")).distinct()
 
     def run(batches):
-        ask = client()
+        ask = cached(client(), cache_name, cache_size) if cache_size else client()
         for b in batches:
             texts = b.column(0).to_pylist()
             out = [v for s in range(0, len(texts), batch_size) for v in ask(texts[s : s + batch_size])]

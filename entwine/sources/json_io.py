@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..schema import ENTITY
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of entities, or one entity: id, fields, metadata."""
-    return spark.read.schema(ENTITY).option("multiLine", True).json(path)
+def read_entities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of entities, or one entity: id, fields, metadata. lines: one entity a line, which tasks share out."""
+    return spark.read.schema(ENTITY).option("multiLine", not lines).json(path)
 
 
 def text_query(spark: SparkSession, text: str) -> DataFrame:

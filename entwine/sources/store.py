@@ -1,7 +1,10 @@
-"""The entity table as Parquet: create, add, look up, update, delete, count, list.
+"""The entity table as Parquet: create, add, look up, update, upsert, delete, count, list, compact.
 
-Each write makes a new version in a folder of its own and then moves a pointer, so readers see whole versions and a
-lost executor never leaves half a table. Appends add a part to the list of the current version.
+Rows lie in buckets by a hash of their id. Each write makes new parts for the buckets that it touches and then a new
+pointer file that lists the parts of all buckets; so readers see whole versions, a lost executor never leaves half a
+table, and a change rewrites its buckets alone. Pointer files are numbered: a writer creates the number after the one
+that it has read, which fails if another one was faster. That needs a file system whose create is exclusive (HDFS and
+local ones are; plain object stores are not, and want a single writer).
 """
 
 from __future__ import annotations
@@ -9,15 +12,28 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RECORD
 
+BUCKETS = 64
+MOST_PARTS = 8  # parts of a bucket that compact() lets be
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster; read again and repeat."""
+
+
+def one_of_each(changes: DataFrame) -> DataFrame:
+    """One row for each id: of several the greatest by its JSON text."""
+    whole = F.struct(*[F.col(c) for c in changes.columns])
+    return changes.groupBy("id").agg(F.max_by(whole, F.to_json(whole)).alias("__row")).select("__row.*")
+
 
 def merged(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """Rows with the values of `changes` (same id) in place of their own, for the columns that changes has."""
-    new = changes.select("id", F.struct(*[c for c in changes.columns if c != "id"]).alias("__new"))
+    new = one_of_each(changes).select("id", F.struct(*[c for c in changes.columns if c != "id"]).alias("__new"))
     out = rows.join(new, "id", "left")
     pick = lambda c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
     return out.select(*[pick(c) if c in changes.columns and c != "id" else F.col(c) for c in rows.columns])
@@ -30,78 +46,135 @@ def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
 class EntityStore:
     """A named collection under a path that all executors reach."""
 
-    def __init__(self, spark: SparkSession, path: str, class_name: str = "Entity", schema=RECORD):
-        self.spark, self.schema = spark, schema
+    def __init__(self, spark: SparkSession, path: str, class_name: str = "Entity", schema=RECORD, buckets: int = BUCKETS):
+        self.spark, self.schema, self.buckets = spark, schema, buckets
         self.path = f"{path.rstrip('/')}/{class_name}"
 
+    # Versions
     def _fs(self, name: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _parts(self) -> list[str]:
-        fs, p = self._fs("current")
-        if not fs.exists(p):
-            return []
-        files = [f.getPath().getName() for f in fs.listStatus(p)]
-        latest = max((int(f) for f in files if f.isdigit()), default=None)
-        if latest is None:
-            return []
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current/{latest}").collect()))
-
-    def _point(self, parts: list[str]) -> None:
-        """A new pointer file with the next number: creating it fails if another writer was faster."""
-        fs, folder = self._fs("current")
-        now = [int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()] if fs.exists(folder) else []
-        fs, p = self._fs(f"current/{max(now, default=0) + 1}")
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps(parts).encode()))
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _state(self) -> tuple[int, dict]:
+        """Number of the current version, and its parts by bucket. A pointer that is still being written does not count."""
+        for n in sorted((int(f) for f in self._names("current") if f.isdigit()), reverse=True):
+            text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/current/{n}").collect())
+            if text.endswith("}"):
+                return n, json.loads(text)
+        return 0, {"buckets": self.buckets, "parts": {}}
+
+    def _point(self, after: int, state: dict) -> None:
+        """The version after the one that was read."""
+        fs, p = self._fs(f"current/{after + 1}")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            raise Conflict(f"version {after + 1} is there already") from e
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
 
-    def _write(self, df: DataFrame) -> str:
+    def _bucket(self, state: dict, id_: Column | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col("id") if id_ is None else id_), F.lit(state["buckets"])).cast("int")
+
+    def _write(self, df: DataFrame, state: dict) -> dict[str, str]:
+        """Writes rows; the new part of each bucket that got any."""
         part = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/parts/{part}")
-        return part
+        df.withColumn("bucket", self._bucket(state)).repartition("bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{self.path}/parts/{part}")
+        return {n.split("=")[1]: part for n in self._names(f"parts/{part}") if n.startswith("bucket=")}
+
+    def _load(self, state: dict, buckets: set[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/parts/{p}/bucket={b}" for b, ps in state["parts"].items() if buckets is None or b in buckets for p in ps]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _touched(self, state: dict, ids: DataFrame) -> set[str]:
+        """The buckets of some ids: at most as many as there are."""
+        return {str(r[0]) for r in ids.select(self._bucket(state)).distinct().collect()}
+
+    def _rewrite(self, number: int, state: dict, touched: set[str], rows: DataFrame) -> None:
+        """Puts rows in the place of all that the touched buckets held."""
+        new = self._write(rows, state)
+        parts = {b: ps for b, ps in state["parts"].items() if b not in touched} | {b: [p] for b, p in new.items()}
+        self._point(number, state | {"parts": parts})
 
     def _shaped(self, df: DataFrame) -> DataFrame:
-        """All columns of the schema; a missing id is a hash of the values, so a retried task gives the same."""
+        """All columns of the schema; a blank id becomes a hash of the values, so a retried task gives the same."""
         have = [f.name for f in self.schema if f.name in df.columns]
         text = F.to_json(F.struct(*[c for c in have if c not in ("id", "created_at", "updated_at")]))
         given = F.col("id") if "id" in df.columns else F.lit(None)
         row_id = F.when(F.coalesce(given, F.lit("")) == "", F.sha2(text, 256)).otherwise(given)
         return df.select(*[row_id.cast("string").alias("id") if f.name == "id" else (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
 
+    def _stamped(self, df: DataFrame) -> DataFrame:
+        stamp = F.unix_timestamp()
+        created = F.coalesce(F.nullif(F.col("created_at"), F.lit(0)), stamp) if "created_at" in df.columns else stamp
+        return self._shaped(df.withColumns({"created_at": created, "updated_at": stamp}))
+
+    # Operations
     def create(self) -> None:
         """Does nothing if the collection is there."""
-        if not self._parts():
-            self._point([self._write(self.spark.createDataFrame([], self.schema))])
+        number, state = self._state()
+        if not number:
+            self._point(0, state)
 
     def read(self) -> DataFrame:
-        parts = self._parts()
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/parts/{p}" for p in parts])
-
-    def add(self, df: DataFrame) -> None:
-        stamp = F.unix_timestamp()
-        created = F.coalesce(F.nullif(F.col("created_at"), F.lit(0)), stamp) if "created_at" in df.columns else stamp
-        part = self._write(self._shaped(df.withColumns({"created_at": created, "updated_at": stamp})))
-        self._point([*self._parts(), part])
+        return self._load(self._state()[1])
+
+    def add(self, df: DataFrame, tries: int = 5) -> None:
+        """Appends. Rows of other writers stay: after a conflict the same parts are added to the newer version."""
+        number, state = self._state()
+        new = self._write(self._stamped(df), state)
+        for left in reversed(range(tries)):
+            parts = {**state["parts"], **{b: [*state["parts"].get(b, []), p] for b, p in new.items()}}
+            try:
+                return self._point(number, state | {"parts": parts})
+            except Conflict:
+                if not left:
+                    raise
+                number, state = self._state()
 
     def get(self, entity_id: str) -> DataFrame:
-        """The row with an id; the filter is pushed down to the files."""
-        return self.read().filter(F.col("id") == entity_id)
+        """The row with an id: reads one bucket, with the filter pushed down to its files."""
+        state = self._state()[1]
+        bucket = self.spark.range(1).select(self._bucket(state, F.lit(entity_id))).first()[0]
+        return self._load(state, {str(bucket)}).filter(F.col("id") == entity_id)
+
+    def get_all(self, ids: DataFrame) -> DataFrame:
+        """The rows with the ids of a frame."""
+        return self.read().join(ids.select("id"), "id", "left_semi")
 
     def update(self, changes: DataFrame) -> None:
         """Takes the changed rows' columns; other columns and rows stay. Ids that are new are not added."""
-        rows = merged(self.read(), changes.withColumn("updated_at", F.unix_timestamp()))
-        self._point([self._write(rows)])
+        number, state = self._state()
+        touched = self._touched(state, changes)
+        self._rewrite(number, state, touched, merged(self._load(state, touched), changes.withColumn("updated_at", F.unix_timestamp())))
+
+    def upsert(self, df: DataFrame) -> None:
+        """Puts whole rows in the place of those with their ids; new ids are added, a blank id becomes a new one."""
+        number, state = self._state()
+        new = one_of_each(self._stamped(df))
+        touched = self._touched(state, new)
+        self._rewrite(number, state, touched, without(self._load(state, touched), new).unionByName(new))
 
     def delete(self, ids: DataFrame) -> None:
-        self._point([self._write(without(self.read(), ids))])
+        number, state = self._state()
+        touched = self._touched(state, ids)
+        self._rewrite(number, state, touched, without(self._load(state, touched), ids))
 
     def replace_all(self, rows: DataFrame) -> None:
-        self._point([self._write(self._shaped(rows))])
+        number, state = self._state()
+        self._rewrite(number, state, set(state["parts"]), self._shaped(rows))
+
+    def compact(self) -> None:
+        """Writes the buckets with more than MOST_PARTS parts anew."""
+        number, state = self._state()
+        many = {b for b, ps in state["parts"].items() if len(ps) > MOST_PARTS}
+        if many:
+            self._rewrite(number, state, many, self._load(state, many))
 
     def count(self) -> int:
         return self.read().count()

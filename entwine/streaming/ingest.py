@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import MatchOptions
 from ..plans.shared import staged
-from ..service import Resolver
+from ..service import Linker
 
 
-def stream_entities(stream: DataFrame, resolver: Resolver, checkpoint: str, matches_path: str | None = None, options: MatchOptions | None = None, trigger: dict | None = None):
+def stream_entities(stream: DataFrame, linker: Linker, checkpoint: str, matches_path: str | None = None, options: MatchOptions | None = None, trigger: dict | None = None):
     """Starts a query that feeds a stream of entities into the store.
 
     With matches_path, the matches of each batch among the records stored before go there as Parquet, one folder
@@ -21,9 +21,9 @@ def stream_entities(stream: DataFrame, resolver: Resolver, checkpoint: str, matc
     def feed(batch: DataFrame, batch_id: int) -> None:
         rows = staged(batch.dropDuplicates(["id"]), "stream_batch")
         if matches_path:
-            resolver.match_entities(rows, options).write.mode("overwrite").parquet(f"{matches_path}/batch={batch_id}")
-        fresh = rows.join(resolver.store.read().select("id"), "id", "left_anti")
-        resolver.add_entities(fresh)
+            linker.match_entities(rows, options).write.mode("overwrite").parquet(f"{matches_path}/batch={batch_id}")
+        fresh = rows.join(linker.store.read().select("id"), "id", "left_anti")
+        linker.add_entities(fresh)
 
     writer = stream.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

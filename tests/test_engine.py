@@ -13,7 +13,7 @@ from entwine.operators import blocking as B
 from entwine.operators import groups as G
 from entwine.operators import matching as M
 from entwine.operators.search import top_k, top_k_in_block
-from entwine.service import Resolver
+from entwine.service import Linker
 from entwine.sources.embedder import embed_texts
 from entwine.sources.json_io import read_entities
 from entwine.streaming.ingest import stream_entities, windowed_counts
@@ -108,50 +108,50 @@ def test_group_agreement(spark, sample):
 
 
 @pytest.fixture
-def resolver(spark, tmp_path):
+def linker(spark, tmp_path):
     c = config.Config()
     c.store.path, c.embedding.embedding_dim, c.clustering.enabled = f"file://{tmp_path}/store", 16, True
-    return Resolver(spark, c)
+    return Linker(spark, c)
 
 
-def test_service(spark, sample, resolver):
-    assert resolver.health() and resolver.count() == 0
-    resolver.add_entities(sample)
-    assert resolver.count() == 3 and resolver.get_entity("entity-002").first()["name_normalized"] == "acme"
+def test_service(spark, sample, linker):
+    assert linker.health() and linker.count() == 0
+    linker.add_entities(sample)
+    assert linker.count() == 3 and linker.get_entity("entity-002").first()["name_normalized"] == "acme"
     asked = spark.createDataFrame([("q", "Acme Corp", "123 Main Street", "New York", "NY", "10001")], "id string, name string, address string, city string, state string, zip string")
-    got = resolver.match_entities(asked, M.MatchOptions(limit=5, threshold=0.1, field_weights={"name": 1.0})).orderBy("rank").collect()
+    got = linker.match_entities(asked, M.MatchOptions(limit=5, threshold=0.1, field_weights={"name": 1.0})).orderBy("rank").collect()
     assert {r["id"] for r in got} == {"entity-001", "entity-002"} and got[0]["score_name"] == 1.0
-    assert resolver.match_text("name=Acme Corp;zip=10001", M.MatchOptions(threshold=0.0)).count() == 2
-    resolver.update_entities(spark.createDataFrame([("entity-003", "Initech")], "id string, name string"))
-    assert resolver.get_entity("entity-003").first()["name"] == "Initech" and resolver.get_entity("entity-003").first()["zip"] == "02108"
-    resolver.recompute_clusters()
+    assert linker.match_text("name=Acme Corp;zip=10001", M.MatchOptions(threshold=0.0)).count() == 2
+    linker.update_entities(spark.createDataFrame([("entity-003", "Initech")], "id string, name string"))
+    assert linker.get_entity("entity-003").first()["name"] == "Initech" and linker.get_entity("entity-003").first()["zip"] == "02108"
+    linker.recompute_clusters()
     seeds = spark.createDataFrame([("entity-001",)], "id string")
-    group = json.loads(resolver.group_json(seeds, G.GroupOptions(threshold=0.1, strategy="direct")).first()["json"])
+    group = json.loads(linker.group_json(seeds, G.GroupOptions(threshold=0.1, strategy="direct")).first()["json"])
     assert group["size"] == 2 and group["primary_id"] == "entity-001" and group["sample_fields"]["zip"]["agreement"] == 1.0
-    resolver.delete_entities(seeds)
-    assert [r["id"] for r in resolver.list_entities(0, 1).collect()] == ["entity-002"]
+    linker.delete_entities(seeds)
+    assert [r["id"] for r in linker.list_entities(0, 1).collect()] == ["entity-002"]
     with pytest.raises(ValueError):
-        resolver.add_entities(spark.createDataFrame([("z", [1.0])], "id string, vector array<float>"), raw=True)
+        linker.add_entities(spark.createDataFrame([("z", [1.0])], "id string, vector array<float>"), raw=True)
 
 
-def test_cli(spark, resolver, tmp_path):
+def test_cli(spark, linker, tmp_path):
     fields = FLAT.replace(" string", "").split(", ")
     data = [{"id": r[0], "fields": dict(zip(fields[1:], r[1:])), "metadata": {"source": "CRM"}} for r in SAMPLE]
     (tmp_path / "in.json").write_text(json.dumps(data, indent=1))
     (tmp_path / "q.json").write_text(json.dumps({"fields": {"name": "Acme Corp", "zip": "10001"}}, indent=1))
     assert read_entities(spark, f"file://{tmp_path}/in.json").count() == 3
     with redirect_stdout(io.StringIO()) as out:
-        cli.main(["--ingest", f"file://{tmp_path}/in.json", "--match-file", f"file://{tmp_path}/q.json", "--threshold", "0.1", "--group", "entity-001", "--field-scores"], spark, resolver)
+        cli.main(["--ingest", f"file://{tmp_path}/in.json", "--match-file", f"file://{tmp_path}/q.json", "--threshold", "0.1", "--group", "entity-001", "--field-scores"], spark, linker)
     assert "ingested 3 entities" in out.getvalue() and "entity-002" in out.getvalue() and '"primary_id":"entity-001"' in out.getvalue()
 
 
-def test_streaming(spark, sample, resolver, tmp_path):
+def test_streaming(spark, sample, linker, tmp_path):
     sample.limit(2).write.json(f"{tmp_path}/in/1")
     stream = spark.readStream.schema(FLAT).json(f"{tmp_path}/in/*")
     for _ in range(2):
-        stream_entities(stream, resolver, f"{tmp_path}/ckpt", f"{tmp_path}/matches", trigger={"availableNow": True}).awaitTermination()
+        stream_entities(stream, linker, f"{tmp_path}/ckpt", f"{tmp_path}/matches", trigger={"availableNow": True}).awaitTermination()
         sample.filter("id <> 'entity-001'").write.mode("ignore").json(f"{tmp_path}/in/2")
-    assert resolver.count() == 3
+    assert linker.count() == 3
     (tmp_path / "events").mkdir()
     events = spark.readStream.schema("t timestamp, k string").json(f"{tmp_path}/events")
     assert windowed_counts(events, "t", "k").isStreaming
@@ -164,7 +164,7 @@ def test_embedder_asks_once_for_each_text(spark):
 
 
 def test_config(tmp_path, monkeypatch):
-    monkeypatch.setenv("RESOLVE_MATCHING_DEFAULT_LIMIT", "7")
+    monkeypatch.setenv("ENTWINE_MATCHING_DEFAULT_LIMIT", "7")
     path = tmp_path / "c.json"
     config.save_default(str(path))
     path.write_text(path.read_text().replace('"default_limit": 10', '"default_limit": 3').replace('"enabled": false', '"enabled": true'))
