@@ -4,6 +4,11 @@ A surrogate depends on a secret key, the type and the canonical form of the enti
 entity, in whatever format and document, get the same one, written in the mention's own format: separators, case,
 script, digit and letter places, valid check digits, gender of names. The distinct entities of the corpus are
 checked for collisions, among the surrogates and with real entities; those that collide draw again.
+
+Names are replaced word by word: a given name and a family name have surrogates of their own, so "Mr John Smith",
+"Dr Smith" and "Smith" agree. An honorific announces a name; once announced, its words are replaced wherever else they
+stand in the document, with or without honorific. A given name is male or female if the corpus knows it with
+honorifics of one gender only.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, ship_package, staged
+from .common import drop_staged, map_text, ship_package, staged
 
 # Honorifics that announce a name, by the gender they tell.
 HONORIFICS = {
@@ -51,9 +57,13 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w|[.-]\d)|(?<![\w+])\+\d{8,15}(?!\w)", re.A)),
     ("card", re.compile(r"(?<![\w-])(?<!\d\.)(?:(?:\d{4}[ -]){3}\d{1,7}|\d{13,19})(?![\w-])", re.A)),
-    ("name", re.compile(rf"(?<!\w)(?P<h>{_TITLES})(?:\.[  ]?|[  ])(?P<v>[^\W\d_a-z][^\W\d_]+(?:[  -][^\W\d_a-z][^\W\d_]+){{0,2}})(?!\w)")),
+    ("name", re.compile(rf"(?<!\w)(?P<h>{_TITLES})(?:\.[  ]?|[  ])(?:[^\W\d_a-z]\.[  ]?){{0,3}}(?P<v>[^\W\d_a-z][^\W\d_]+(?:[  -][^\W\d_a-z][^\W\d_]+){{0,2}})(?!\w)")),
 ]
 _DIGITS = {"phone", "ssn", "card"}
+_NAMES = {"given", "family"}
+_WORD = re.compile(r"[^\W\d_]+")
+# Country codes of one and two digits (ITU-T E.164); all others have three.
+_COUNTRY = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 _digit_or_at = re.compile(r"[0-9@]")
 # What a text without digits and @ needs to hold an entity.
 _signs = [*_GENDER, "PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox"]
@@ -77,43 +87,86 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def national(text: str) -> str:
+    """The digits of a phone number without country code and trunk zero."""
+    digits = re.sub(r"\D", "", text)
+    if text.startswith("+"):
+        code = next((n for n in (1, 2) if digits[:n] in _COUNTRY), 3)
+        rest = digits[code:]
+    elif len(digits) == 11 and digits[0] == "1":
+        rest = digits[1:]
+    else:
+        rest = digits
+    rest = rest[1:] if rest[:1] == "0" else rest
+    return rest if len(rest) >= 4 else digits
+
+
 def canonical(kind: str, text: str) -> str:
+    if kind == "phone":
+        return national(text)
     if kind in _DIGITS:
         return re.sub(r"\D", "", text)
     if kind == "iban":
         return text.replace(" ", "")
     if kind == "email":
         return text.lower()
-    if kind == "name":
-        return re.sub(r"[\s -]+", " ", text).casefold()
+    if kind in _NAMES:
+        return text.casefold()
     return text
 
 
-def find(text: str | None) -> list[tuple[int, int, str, str]]:
-    """Entities of a text: start, end, kind (names with their gender), without overlaps, in order."""
-    if not text or not hints(text):
-        return []
-    taken: list[tuple[int, int, str]] = []
+Mention = tuple[int, int, str, str, str]  # start, end, kind, canonical value, gender of a given name
+
+
+def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, kind and gender of whatever a pattern finds; names as a whole."""
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
             a, b = m.span("v") if "v" in pattern.groupindex else m.span()
-            value = text[a:b]
-            label = kind
-            if kind == "name":
-                label = f"name_{_GENDER[m['h']]}"
-            elif kind == "iban" and not iban_ok(canonical(kind, value)):
+            if kind == "iban" and not iban_ok(canonical(kind, text[a:b])):
                 continue
-            elif kind == "secret" and not any(c.isalnum() for c in value):  # a mask, such as ******
+            if kind == "secret" and not any(c.isalnum() for c in text[a:b]):  # a mask, such as ******
                 continue
-            taken.append((a, b, label))
-    taken.sort(key=lambda x: (x[0], -x[1]))
-    out: list[tuple[int, int, str, str]] = []
+            yield a, b, kind, _GENDER[m["h"]] if kind == "name" else ""
+
+
+def find(text: str | None) -> list[Mention]:
+    """Entities of a text, without overlaps, in order; of names each word is one."""
+    if not text or not hints(text):
+        return []
+    plain: list[tuple[int, int, str, str]] = []
     end = 0
-    for a, b, label in taken:
-        if a >= end:
-            out.append((a, b, label, canonical("name" if label.startswith("name") else label, text[a:b])))
-            end = b
-    return out
+    for x in sorted(_spans(text), key=lambda x: (x[0], -x[1])):
+        if x[0] >= end:
+            plain.append(x)
+            end = x[1]
+    out: list[Mention] = [(a, b, kind, canonical(kind, text[a:b]), "") for a, b, kind, _ in plain if kind != "name"]
+    named = [(a, b, gender) for a, b, kind, gender in plain if kind == "name"]
+    return sorted(out + _names(text, named, out)) if named else out
+
+
+def _names(text: str, named: list[tuple[int, int, str]], others: list[Mention]) -> list[Mention]:
+    """The words of the announced names, and where else in the text they stand."""
+    words = [[(a + m.start(), a + m.end()) for m in _WORD.finditer(text[a:b])] for a, b, _ in named]
+    low = lambda w: canonical("given", text[w[0] : w[1]])
+    given = {low(w) for ws in words for w in ws[:-1]}
+    family = {low(ws[-1]) for ws in words if len(ws) > 1}
+    genders: dict[str, set[str]] = {}
+    for ws, (_, _, gender) in zip(words, named):
+        first = ws[:-1] if len(ws) > 1 else ws
+        for w in first:
+            genders.setdefault(low(w), set()).update({gender} - {"n"})
+    kind = lambda w: "given" if w in given and w not in family else "family"
+    gender = lambda w: next(iter(genders[w])) if kind(w) == "given" and len(genders.get(w, ())) == 1 else "n" if kind(w) == "given" else ""
+    seen = {w for ws in words for w in ws}
+    taken = sorted(seen | {m[:2] for m in others})
+    forms = {f for ws in words for w in ws for f in (text[w[0] : w[1]], text[w[0] : w[1]].upper(), text[w[0] : w[1]].capitalize())}
+    again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, forms), key=lambda f: (-len(f), f)))})(?!\w)")
+    for m in again.finditer(text):
+        k = bisect_right(taken, (m.end(), -1)) - 1  # the last one that begins before the end of this
+        if k < 0 or taken[k][1] <= m.start():
+            seen.add(m.span())
+    return [(a, b, kind(w), w, gender(w)) for a, b in seen for w in [low((a, b))]]
 
 
 def _stream(key: bytes, kind: str, value: str, attempt: int) -> Iterator[int]:
@@ -154,18 +207,18 @@ def script_of(value: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in value) else "latin" if any(c.isascii() and c.isalpha() for c in value) else "other"
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The canonical form of the replacement; differs from the value, and names share no word with it."""
+def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, gender: str = "n") -> str:
+    """The canonical form of the replacement; differs from the value, and names share no part with it."""
     for turn in range(1000):
         s = _stream(key, kind, value, attempt * 1000 + turn)
-        out = _draw(key, s, kind, value, attempt)
-        if out != value and not (kind.startswith("name") and set(out.split(" ")) & set(value.split(" "))):
+        out = _draw(key, s, kind, value, attempt, gender)
+        if out != value and not (kind in _NAMES and value in out.split("-")):
             return out
     return out
 
 
-def _draw(key: bytes, s: Iterator[int], kind: str, value: str, attempt: int) -> str:
-    more = attempt // 8  # small spaces run out: from attempt 8 on, surrogates get longer
+def _draw(key: bytes, s: Iterator[int], kind: str, value: str, attempt: int, gender: str) -> str:
+    more = attempt // (3 if kind in _NAMES else 8)  # small spaces run out: in later attempts, surrogates get longer
     letters = lambda: "".join(chr(97 + _pick(s, 26)) for _ in range(more))
     if kind == "ip":
         return ".".join(str(1 + _pick(s, 254)) for _ in range(4 + more))
@@ -179,7 +232,7 @@ def _draw(key: bytes, s: Iterator[int], kind: str, value: str, attempt: int) ->
                 break
         return "".join(_like(c, s, False) for c in local) + letters() + "@" + new + "." + top
     if kind in ("phone", "ssn", "card"):
-        hold = 1 if kind == "card" else max(0, len(value) - 10) if kind == "phone" else 0
+        hold = 1 if kind == "card" else 0
         out = value[:hold] + "".join(str(_pick(s, 10)) if i else str(2 + _pick(s, 8)) for i in range(len(value) - hold + more))
         if kind == "card" and luhn(value) == 0:
             out = next(out[:-1] + str(c) for c in range(10) if luhn(out[:-1] + str(c)) == 0)
@@ -188,17 +241,13 @@ def _draw(key: bytes, s: Iterator[int], kind: str, value: str, attempt: int) ->
         body = "".join(_like(c, s, False) for c in value[4:]) + "".join(str(_pick(s, 10)) for _ in range(more))
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
-    if kind.startswith("name"):
+    if kind in _NAMES:
         script = script_of(value)
-        words = value.split(" ")
         if script == "other":
-            return " ".join("".join(_like(c, s, False) for c in w) for w in words) + letters()
-        gender = kind[-1] if kind[-1] in "mf" else "mf"[_pick(s, 2)]
-        first, last = FIRST[gender, script], LAST[script]
-        out = [first[_pick(s, len(first))] for _ in words[:-1]] + [last[_pick(s, len(last))]]
-        if more:  # the lists are small: double names when they run out
-            out[-1] += "-" + "".join(last[_pick(s, len(last))] for _ in range(more))
-        return " ".join(out).casefold()
+            return "".join(_like(c, s, False) for c in value) + letters()
+        drawn = gender if gender in ("m", "f") else "mf"[_pick(s, 2)]
+        names = LAST[script] if kind == "family" else FIRST[drawn, script]
+        return "-".join(names[_pick(s, len(names))] for _ in range(1 + more)).casefold()
     start = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-", value)
     hold = start.end() if start else 0
     hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None
@@ -210,45 +259,64 @@ def _draw(key: bytes, s: Iterator[int], kind: str, value: str, attempt: int) ->
 
 def render(kind: str, mention: str, value: str) -> str:
     """Writes a canonical surrogate in the format of a mention."""
+    if kind == "phone":  # country code and trunk zero stay
+        hold = sum(c.isdigit() for c in mention) - len(canonical(kind, mention))
+        rest, out = iter(value), []
+        for c in mention:
+            if c.isdigit() and hold:
+                hold -= 1
+                out.append(c)
+            else:
+                out.append(next(rest) if c.isdigit() else c)
+        return "".join(out) + "".join(rest)
     if kind in _DIGITS or kind == "iban":
         rest = iter(value)
         return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
     if kind == "email":
         parts = zip(mention.rsplit("@", 1), value.rsplit("@", 1))
         return "@".join("".join(v.upper() if m.isupper() else v for m, v in zip(a.ljust(len(b)), b)) for a, b in parts)
-    if kind.startswith("name"):
-        seps = re.findall(r"[\s -]+", mention)
-        words = [w.upper() if len(mention) > 1 and mention.isupper() else "-".join(x[:1].upper() + x[1:] for x in w.split("-")) for w in value.split(" ")]
-        return "".join(w + (seps[i] if i < len(seps) and i + 1 < len(words) else "") for i, w in enumerate(words))
+    if kind in _NAMES:
+        return value.upper() if len(mention) > 1 and mention.isupper() else "-".join(x[:1].upper() + x[1:] for x in value.split("-"))
     return value
 
 
-def replace(text: str | None, key: bytes, again: dict[tuple[str, str], int]) -> tuple[str | None, list[dict]]:
+Known = dict[tuple[str, str], tuple[int, str]]  # attempt and gender of the entities that the corpus decides on
+
+
+def replace(text: str | None, key: bytes, known: Known) -> tuple[str | None, list[dict]]:
     found = find(text)
     if not found:
         return text, []
     out, at, notes = [], 0, []
-    for a, b, kind, value in found:
-        new = render(kind, text[a:b], surrogate(key, kind, value, again.get((kind, value), 0)))
+    for a, b, kind, value, gender in found:
+        attempt, gender = known.get((kind, value), (0, gender))
+        new = render(kind, text[a:b], surrogate(key, kind, value, attempt, gender))
         out += [text[at:a], new]
         notes.append({"kind": kind, "start": a, "end": b, "surrogate": new})
         at = b
     return "".join(out) + text[at:], notes
 
 
-ENTITIES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
+ENTITY_FIELDS = ("kind", "value", "gender")
+ENTITIES = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ENTITY_FIELDS]))
 NOTES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("surrogate", T.StringType())]))
 
 
+def _listed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """The distinct entities of each document."""
+    make = lambda: lambda texts: [[[dict(zip(ENTITY_FIELDS, e)) for e in dict.fromkeys(x[2:] for x in find(t))] for t in texts]]
+    return map_text(docs, text_col, [T.StructField("entities", ENTITIES)], make, keep=keep).select(*keep, F.explode("entities").alias("e")).select(*keep, "e.*")
+
+
 def entity_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct entities of all documents: kind, value."""
-    fields = [T.StructField("entities", ENTITIES)]
-    found = map_text(docs, text_col, fields, lambda: lambda texts: [[[{"kind": k, "value": v} for k, v in dict.fromkeys((x[2], x[3]) for x in find(t))] for t in texts]], keep=[])
-    return found.select(F.explode("entities").alias("e")).select("e.kind", "e.value").groupBy("kind", "value").agg(F.lit(1).alias("one")).select("kind", "value")
+    """The distinct entities of all documents: kind, value, gender (of given names: m or f if no document tells another)."""
+    least, most = F.min(F.when(F.col("gender") != "n", F.col("gender"))), F.max(F.when(F.col("gender") != "n", F.col("gender")))
+    by_value = _listed(docs, text_col, []).groupBy("kind", "value").agg(least.alias("x"), most.alias("y"))
+    return by_value.select("kind", "value", F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("kind") == "given", "n").otherwise("").alias("gender"), (F.col("x") < F.col("y")).alias("both"))
 
 
 def draw_again(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, value, attempt of the entities that do not keep their first surrogate: attempts until all are distinct.
+    """kind, value, attempt, gender of the entities that do not keep their first surrogate: attempts until all are distinct.
 
     In each round an entity keeps its draw if it is no real entity's value and no smaller value of the kind drew
     the same. Draws of one round see those kept before as taken. The space of draws grows with the attempts, so the
@@ -257,25 +325,29 @@ def draw_again(entities: DataFrame, key: bytes) -> DataFrame:
     ship_package(entities.sparkSession)
 
     @F.pandas_udf("string")
-    def draw(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, k, v, int(a)) for k, v, a in zip(kind, value, attempt)], dtype=object)
+    def draw(kind: pd.Series, value: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k, v, int(a), g) for k, v, a, g in zip(kind, value, attempt, gender)], dtype=object)
+
+    cols = ["kind", "value", "gender", "attempt"]
 
     def drawn(df: DataFrame) -> DataFrame:
-        return df.withColumn("new", draw("kind", "value", "attempt"))
+        return df.select(*cols, draw("kind", "value", "attempt", "gender").alias("new"))
 
-    kinds = F.when(F.col("kind").startswith("name"), F.lit("name")).otherwise(F.col("kind"))
-    real = entities.select(kinds.alias("group"), F.col("value").alias("new")).distinct().withColumn("real", F.lit(True))
-    now = staged(drawn(entities.withColumn("attempt", F.lit(0))).withColumn("group", kinds), "pii_draws")
+    real = entities.select("kind", F.col("value").alias("new")).distinct().withColumn("real", F.lit(True))
+    now = staged(drawn(entities.withColumn("attempt", F.lit(0))), "pii_draws")
     while True:
-        first = now.groupBy("group", "new").agg(F.min(F.struct("attempt", "value", "kind")).alias("first"))
-        judged = now.join(first, ["group", "new"]).join(real, ["group", "new"], "left")
-        bad = judged.filter(F.col("real").isNotNull() | (F.struct("attempt", "value", "kind") > F.col("first")))
-        bad = staged(bad.select("kind", "value", "group", (F.col("attempt") + 1).alias("attempt")), "pii_again")
+        first = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value")).alias("first"))
+        judged = now.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
+        bad = judged.filter(F.col("real").isNotNull() | (F.struct("attempt", "value") > F.col("first")))
+        bad = staged(bad.select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt")), "pii_again")
         if bad.isEmpty():
             break
         rest = now.join(bad.select("kind", "value"), ["kind", "value"], "left_anti")
-        now = staged(rest.select("kind", "value", "attempt", "new", "group").unionByName(drawn(bad).select("kind", "value", "attempt", "new", "group")), "pii_draws")
-    return now.filter("attempt > 0").select("kind", "value", "attempt")
+        after = staged(rest.select(*cols, "new").unionByName(drawn(bad)), "pii_draws")
+        drop_staged(now)
+        drop_staged(bad)
+        now = after
+    return now.filter("attempt > 0").select(*cols)
 
 
 def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", most_broadcast: int = 50_000) -> DataFrame:
@@ -283,15 +355,19 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", most_b
 
     start and end are places in the input text. Null and empty texts pass unchanged with no entities. Rows are
     independent: repeated rows get equal results. Input columns named n_entities or entities give way.
-    Entities that had to draw again are few; up to most_broadcast of them go to the executors as a dictionary.
+    Very long texts are searched as they are. Entities that had to draw again, and given names whose gender the corpus
+    tells, are few; up to most_broadcast of them go to the executors as a dictionary.
     Beyond that each document gets its own through a join on the hash of its text.
     """
-    again = staged(draw_again(staged(entity_table(docs, text_col), "pii_entities"), key), "pii_attempts")
+    entities = staged(entity_table(docs, text_col), "pii_entities")
+    again = draw_again(entities.drop("both"), key)
+    told = entities.filter("gender IN ('m', 'f') OR both").select("kind", "value", "gender", F.lit(0).alias("attempt"))
+    again = staged(again.unionByName(told).groupBy("kind", "value").agg(F.max("attempt").alias("attempt"), F.max("gender").alias("gender")), "pii_attempts")
     n = again.count()
     cols = [c for c in docs.columns if c not in ("n_entities", "entities")]
     fields = [T.StructField("__new", T.StringType()), T.StructField("entities", NOTES)]
     if n <= most_broadcast:
-        known = {(r["kind"], r["value"]): r["attempt"] for r in again.collect()}
+        known = {(r["kind"], r["value"]): (r["attempt"], r["gender"]) for r in again.collect()}
         shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def make():
@@ -301,9 +377,9 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", most_b
     else:
         sep = "\0"
         text_key = F.sha2(F.col(f"`{text_col}`").cast("binary"), 256)
-        found = map_text(docs.select(F.col(f"`{text_col}`").alias("t"), text_key.alias("tk")), "t", [T.StructField("entities", ENTITIES)], lambda: lambda texts: [[[{"kind": k, "value": v} for k, v in dict.fromkeys((x[2], x[3]) for x in find(t))] for t in texts]], keep=["tk"])
-        of_text = found.select("tk", F.explode("entities").alias("e")).select("tk", "e.kind", "e.value").distinct().join(again, ["kind", "value"]).groupBy("tk").agg(F.to_json(F.collect_list(F.array("kind", "value", F.col("attempt").cast("string")))).alias("own"))
-        joined = docs.select(*[F.col(f"`{c}`") for c in cols], text_key.alias("__tk")).join(of_text.withColumnRenamed("tk", "__tk"), "__tk", "left")
+        found = _listed(docs.select(F.col(f"`{text_col}`").alias("t"), text_key.alias("tk")), "t", ["tk"]).select("tk", "kind", "value")
+        of_text = found.distinct().join(again, ["kind", "value"]).groupBy("tk").agg(F.to_json(F.collect_list(F.array("kind", "value", F.col("attempt").cast("string"), "gender"))).alias("own"))
+        joined = docs.select(*[F.col(f"`{c}`") for c in cols], text_key.alias("__tk")).join(staged(of_text.withColumnRenamed("tk", "__tk"), "pii_of_text"), "__tk", "left")
         packed = joined.withColumn("__both", F.when(F.col(f"`{text_col}`").isNotNull(), F.concat(F.coalesce("own", F.lit("[]")), F.lit(sep), F.col(f"`{text_col}`"))))
 
         def make():
@@ -313,7 +389,7 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", most_b
                 if both is None:
                     return None, []
                 own, text = both.split(sep, 1)
-                return replace(text, key, {(k, v): int(a) for k, v, a in json.loads(own)})
+                return replace(text, key, {(k, v): (int(a), g) for k, v, a, g in json.loads(own)})
 
             return lambda texts: [list(c) for c in zip(*(one(t) for t in texts))]
 

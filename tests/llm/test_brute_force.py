@@ -270,7 +270,7 @@ def test_pii(spark):
     df = spark.createDataFrame([(1, t), (2, "again bob.lee@mail.example.com"), (3, "clean text of 12 words")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.replace_entities(df, key).collect()}
     new = {(e["kind"], t[e["start"] : e["end"]]): e["surrogate"] for e in got[1]["entities"]}
-    assert got[3]["text"] == "clean text of 12 words" and got[1]["n_entities"] == 14
+    assert got[3]["text"] == "clean text of 12 words" and got[1]["n_entities"] == 16
     for gone in ("555-2485", "bob.lee", "10.1.2.3", "4111", "hunter", "Anna", "Смит", "Иван", "1beb58", "DE8937", "SJDZW", "123-45"):
         assert gone not in got[1]["text"]
     mails = [v for (k, _), v in new.items() if k == "email"]
@@ -280,18 +280,17 @@ def test_pii(spark):
     cards = [v for (k, _), v in new.items() if k == "card"]
     assert cards[0].replace(" ", "") == cards[1] and pii.luhn(cards[1]) == 0 and pii.luhn("4111111111111111") == 0
     assert pii.iban_ok(next(v for (k, _), v in new.items() if k == "iban"))
-    names = {k: v for (k, _), v in new.items() if k.startswith("name")}
-    assert names["name_f"].split()[0] in pii.FIRST["f", "latin"] and names["name_m"].split()[0] in pii.FIRST["m", "cyrillic"]
+    assert new["given", "Anna"] in pii.FIRST["f", "latin"] and new["given", "Иван"] in pii.FIRST["m", "cyrillic"] and new["family", "Петров"] in pii.LAST["cyrillic"]
     again = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, key).collect()}
     assert again[1] == got[1]["text"] and pii.replace_entities(df, b"other").filter("doc_id = 1").first()["text"] != again[1]
 
 
 def test_pii_collisions_draw_again(spark):
     names = [f"{a.lower()} {b.lower()}" for a in pii.FIRST["f", "latin"][:30] for b in pii.LAST["latin"][:30]]
-    entities = spark.createDataFrame([("name_f", n) for n in names], "kind string, value string")
-    again = {(r["kind"], r["value"]): r["attempt"] for r in pii.draw_again(entities, b"k").collect()}
-    new = [pii.surrogate(b"k", "name_f", n, again.get(("name_f", n), 0)) for n in names]
-    assert again and len(set(new)) == len(names) and not set(new) & set(names)
+    words = sorted({("given", n.split()[0], "f") for n in names} | {("family", n.split()[1], "") for n in names})
+    again = {(r["kind"], r["value"]): r["attempt"] for r in pii.draw_again(spark.createDataFrame(words, "kind string, value string, gender string"), b"k").collect()}
+    new = [(k, pii.surrogate(b"k", k, v, again.get((k, v), 0), g)) for k, v, g in words]
+    assert again and len(set(new)) == len(words) and not set(new) & {w[:2] for w in words}
     rows = spark.createDataFrame([(k, f"Mrs {n.title()}") for k, n in enumerate(names)], "doc_id long, text string")
     small = {r["doc_id"]: r["text"] for r in pii.replace_entities(rows, b"k").collect()}
     joined = {r["doc_id"]: r["text"] for r in pii.replace_entities(rows, b"k", most_broadcast=0).collect()}
