@@ -7,14 +7,16 @@ one, which also sees the group, its place there. Frequent tokens have a place of
 as many as there are groups, and a third layer tells them apart. The sum of the conditional log-probabilities of all
 tokens is the score of a document.
 
-Training covers all documents. In each round every task trains a copy of the network on its documents of that
-round by Adagrad in numpy; the rows of weights that moved are averaged, weighted by their tokens (embeddings by the
-occurrences of their word), and the average starts the next round. The driver only sees the average: its size
-depends on the model alone.
+Training covers all documents. Hashes of the rows deal them to rounds and to shards of about SHARD_BYTES; in each round
+every shard trains a copy of the network by Adagrad in numpy, in an order of its own; the rows of weights that moved
+are averaged, weighted by their tokens (embeddings by the occurrences of their word), and the average starts the next
+round. So the model depends on the table alone, not on how its rows lie or on the cluster. The driver only sees the
+average: its size depends on the model alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, encoded, hash_words, map_text, pieces, ship_package, slices
+from .common import U64, _words, encoded, hash_words, map_text, pieces, ship_package
 
 GROUPS = 32
 VOCAB = GROUPS * GROUPS
@@ -36,6 +38,12 @@ OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 MIN_COUNT = 256
 # Rows of weights travel packed, in so many parts.
 BLOCKS = 128
+# Bytes of text that one copy of the network trains on in a round.
+SHARD_BYTES = 6 << 20
+# Tokens that a copy mixes at once.
+CHUNK = 1 << 20
+# Log-probabilities add up as whole multiples of this, so sums do not depend on their order.
+GRAIN = 2.0**-24
 
 
 @dataclass(frozen=True)
@@ -89,20 +97,23 @@ def start_weights(seed: int = 3, shape: Shape = Shape()) -> np.ndarray:
     return flat
 
 
-def word_keys(texts: list[str | None], endings: int = ENDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and ending bucket of each word of all texts, and where each text's words begin."""
-    keys, ends, counts = [], [], [0]
-    for t in texts:
-        n = 0
-        for p in pieces(encoded(t)):
-            words = p.lower().split()
-            keys.append(hash_words(words))
-            ends.append(hash_words([w[-3:] for w in words]))
-            n += len(words)
-        counts.append(n)
-    if not keys:
-        return np.empty(0, U64), np.empty(0, np.int64), np.zeros(1, np.int64)
-    return np.concatenate(keys), (np.concatenate(ends) % U64(endings)).astype(np.int64), np.cumsum(counts)
+class TokenIds(dict):
+    """Token ids of words, each looked up once while it is held."""
+
+    def __init__(self, words: np.ndarray, places: np.ndarray, vocab: int):
+        super().__init__()
+        self.words, self.places = words, places
+        self.below = max(WORDS, len(words))
+        self.endings = vocab - self.below
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 19:
+            self.clear()
+        key = U64(_words[word])
+        at = int(np.searchsorted(self.words, key))
+        known = at < len(self.words) and self.words[at] == key
+        self[word] = out = int(self.places[at]) if known else self.below + _words[word[-3:]] % self.endings
+        return out
 
 
 @dataclass
@@ -111,37 +122,47 @@ class WindowModel:
     places: np.ndarray = field(repr=False)  # their token ids: rank by frequency
     flat: np.ndarray = field(repr=False)
     shape: Shape = Shape()
+    ids: TokenIds | None = field(default=None, repr=False, compare=False)
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        below = max(WORDS, len(self.words))
-        keys, ending, first = word_keys(texts, self.shape.vocab - below)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-            known = self.words[at] == keys
-            return np.where(known, self.places[at], below + ending).astype(np.int32), first
-        return (below + ending).astype(np.int32), first
+        """Token ids of all texts, and where each text's begin."""
+        if self.ids is None:
+            self.ids = TokenIds(self.words, self.places, self.shape.vocab)
+        out, first = [np.empty(0, np.int32)], [0]
+        for t in texts:
+            n = 0
+            for p in pieces(encoded(t)):
+                words = p.lower().split()
+                out.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
+                n += len(words)
+            first.append(first[-1] + n)
+        return np.concatenate(out), np.array(first)
 
     def score(self, texts: list[str | None], block: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
-        """Summed conditional log-probability and number of tokens of each text."""
+        """Summed conditional log-probability and number of tokens of each text.
+
+        Products always have the same shape, so a token's terms do not depend on what else is scored with it.
+        """
         tokens, first = self.tokens(texts)
-        context = contexts(tokens, first, self.shape.vocab)
         p = unpack(self.flat, self.shape)
-        out = np.zeros(len(tokens) + 1)
+        sums = np.zeros(len(tokens) + 1, np.int64)
         for s in range(0, len(tokens), block):
-            out[s + 1 : s + 1 + block] = forward(p, context[:, s : s + block], tokens[s : s + block])[0]
-        sums = np.cumsum(out)
-        return sums[first[1:]] - sums[first[:-1]], np.diff(first)
-
-
-def contexts(tokens: np.ndarray, first: np.ndarray, border: int = VOCAB) -> np.ndarray:
-    """Neighbours at each offset; the border token stands outside the text."""
-    n = len(tokens)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.arange(n)
-    out = np.empty((len(OFFSETS), n), np.int32)
+            at = np.minimum(np.arange(s, s + block), len(tokens) - 1)
+            grains = np.rint(forward(p, contexts(tokens, first, self.shape.vocab, at), tokens[at])[0] / GRAIN).astype(np.int64)
+            sums[s + 1 : s + 1 + block] = grains[: len(tokens) - s]
+        np.cumsum(sums, out=sums)
+        return (sums[first[1:]] - sums[first[:-1]]) * GRAIN, np.diff(first)
+
+
+def contexts(tokens: np.ndarray, first: np.ndarray, border: int = VOCAB, at: np.ndarray | None = None) -> np.ndarray:
+    """Neighbours at each offset of some places (of all by default); the border token stands outside the text."""
+    at = np.arange(len(tokens)) if at is None else at
+    doc = np.searchsorted(first, at, "right") - 1
+    low, high = first[doc], first[doc + 1]
+    out = np.empty((len(OFFSETS), len(at)), np.int32)
     for k, o in enumerate(OFFSETS):
-        inside = (at + o >= first[doc]) & (at + o < first[doc + 1])
-        out[k] = np.where(inside, tokens[np.clip(at + o, 0, max(0, n - 1))] if n else 0, border)
+        inside = (at + o >= low) & (at + o < high)
+        out[k] = np.where(inside, tokens[np.where(inside, at + o, 0)] if len(tokens) else 0, border)
     return out
 
 
@@ -250,24 +271,21 @@ def count_words(docs: DataFrame, text_col: str = "text", min_count: int = MIN_CO
     ship_package(docs.sparkSession)
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: Counter = Counter()
 
-        def merged():
-            keys, inv = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(inv, np.concatenate([c for _, c in held])).astype(np.int64)
+        def rows():
+            keys = hash_words(list(held)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for b in batches:
-            for part in slices(b):
-                keys, counts = np.unique(word_keys(part.column(0).to_pylist())[0], return_counts=True)
-                held.append((keys, counts))
-            if len(held) > 8:
-                held[:] = [merged()]
-                if len(held[0][0]) > 1_000_000:  # bounded memory: hand over and go on
-                    keys, counts = held.pop()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
+            for text in b.column(0):
+                for p in pieces(encoded(text.as_py())):
+                    held.update(p.lower().split())
+                    if len(held) > 400_000:  # bounded memory: hand over and go on
+                        yield rows()
+                        held.clear()
         if held:
-            keys, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
+            yield rows()
 
     words = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(run, "word long, n long")
     counted = words.groupBy("word").agg(F.sum("n").alias("n"))
@@ -278,54 +296,95 @@ def count_words(docs: DataFrame, text_col: str = "text", min_count: int = MIN_CO
     return word[np.lexsort((word, -n))].view(np.uint64)
 
 
+def _train(model: WindowModel, rate: float, batch: int):
+    """Trains a copy of the network for each shard; rows come sorted by shard."""
+
+    def packed(shard: int, trainer: Trainer):
+        rows, weight = trainer.moved(model.flat)
+        v = trainer.flat.reshape(-1, DIM)
+        for block in range(BLOCKS):
+            at = np.flatnonzero(rows % BLOCKS == block)
+            if len(at):
+                values = [rows[at].astype(np.int32), weight[at].astype(np.float64), v[rows[at]].astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in values]], names=["block", "shard", "row", "n", "v"])
+
+    def learn(trainer: Trainer, held: list[np.ndarray]) -> None:
+        if not held:
+            return
+        tokens, first = np.concatenate(held), np.cumsum([0, *map(len, held)])
+        deal = np.random.RandomState(len(tokens) % (1 << 32)).permutation(len(tokens))
+        for s in range(0, len(tokens), batch):
+            k = deal[s : s + batch]
+            trainer.step(contexts(tokens, first, model.shape.vocab, k), tokens[k])
+
+    def run(batches):
+        shard, trainer, held, size = -1, None, [], 0
+        for b in batches:
+            for text, now in zip(b.column(0), b.column(1).to_pylist()):
+                if now != shard:
+                    if trainer:
+                        learn(trainer, held)
+                        yield from packed(shard, trainer)
+                    shard, trainer, held, size = now, Trainer(model.flat, rate, model.shape), [], 0
+                tokens = model.tokens([text.as_py()])[0]
+                if len(tokens):
+                    held.append(tokens)
+                    size += len(tokens)
+                if size >= CHUNK:
+                    learn(trainer, held)
+                    held, size = [], 0
+        if trainer:
+            learn(trainer, held)
+            yield from packed(shard, trainer)
+
+    return run
+
+
+def _average(shape: Shape):
+    """Weighted means of the rows of each block, added up in the order of the shards."""
+
+    def run(batches):
+        block, sums = -1, np.empty(0)
+
+        def mean():
+            at = np.flatnonzero(sums[:, 0])
+            row = (at * BLOCKS + block).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (row, (sums[at, 1:] / sums[at, :1]).astype(np.float32))], names=["row", "v"])
+
+        for b in batches:
+            for now, row, n, v in zip(b.column(0).to_pylist(), *(b.column(k) for k in (2, 3, 4))):
+                if now != block:
+                    if block >= 0:
+                        yield mean()
+                    block, sums = now, np.zeros((shape.rows // BLOCKS + 1, DIM + 1))
+                at, n = np.frombuffer(row.as_py(), np.int32) // BLOCKS, np.frombuffer(n.as_py())
+                sums[at, 0] += n
+                sums[at, 1:] += np.frombuffer(v.as_py(), np.float32).reshape(-1, DIM) * n[:, None]
+        if block >= 0:
+            yield mean()
+
+    return run
+
+
 def train_model(docs: DataFrame, text_col: str = "text", rounds: int = 3, rate: float = 0.15, batch: int = 4096, min_count: int = MIN_COUNT) -> WindowModel:
-    """Trains on all documents, each in one of the rounds, dealt out by a hash of its text."""
+    """Trains on all documents, each in one of the rounds and in one shard, dealt out by hashes of whole rows."""
     ship_package(docs.sparkSession)
     ranked = count_words(docs, text_col, min_count)
     order = np.argsort(ranked)
     shape = shape_for(max(WORDS, len(ranked)))
     model = WindowModel(ranked[order], order.astype(np.int64), start_weights(shape=shape), shape)
-    names = ["block", "row", "n", "v"]
-
-    def average(batches):
-        """Weighted means of the rows of each block."""
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, row, n, v in zip(*(c.to_pylist() for c in b.columns)):
-                sums = held.setdefault(block, np.zeros((shape.rows // BLOCKS + 1, DIM + 1)))
-                at, n = np.frombuffer(row, np.int32) // BLOCKS, np.frombuffer(n)
-                sums[at, 0] += n
-                sums[at, 1:] += np.frombuffer(v, np.float32).reshape(-1, DIM) * n[:, None]
-        for block, sums in held.items():
-            at = np.flatnonzero(sums[:, 0])
-            mean = (sums[at, 1:] / sums[at, :1]).astype(np.float32)
-            row = (at * BLOCKS + block).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["row", "v"])
+    text = F.col(f"`{text_col}`")
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    shards = max(1, -(-size // (rounds * SHARD_BYTES)))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = docs.filter(F.octet_length(text) > 0).select(text.alias("t"), F.xxhash64(*plain).alias("h"))
+    shard = F.pmod(F.floor(F.col("h") / F.lit(1024)), F.lit(shards)).cast("int")
 
     for r in range(rounds):
-
-        def run(batches, model=model, rate=rate / (1 + r)):
-            trainer = Trainer(model.flat, rate, model.shape)
-            for b in batches:
-                for part in slices(b):
-                    tokens, first = model.tokens(part.column(0).to_pylist())
-                    context = contexts(tokens, first, model.shape.vocab)
-                    deal = np.random.RandomState(len(tokens)).permutation(len(tokens))
-                    for s in range(0, len(tokens), batch):
-                        k = deal[s : s + batch]
-                        trainer.step(context[:, k], tokens[k])
-            if trainer.tokens:
-                rows, weight = trainer.moved(model.flat)
-                v = trainer.flat.reshape(-1, DIM)
-                for block in range(BLOCKS):
-                    at = np.flatnonzero(rows % BLOCKS == block)
-                    packed = [rows[at].astype(np.int32), weight[at].astype(np.float64), v[rows[at]].astype(np.float32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=names)
-
-        text = F.col(f"`{text_col}`")
-        part = docs.filter(F.pmod(F.xxhash64(text), F.lit(rounds)) == r).select(text.alias("t"))
-        packed = part.mapInArrow(run, "block int, row binary, n binary, v binary")
-        means = packed.repartition("block").mapInArrow(average, "row binary, v binary").toArrow()
+        part = dealt.filter(F.pmod("h", F.lit(rounds)) == r).select("t", shard.alias("shard"), "h")
+        part = part.repartition(shards, "shard").sortWithinPartitions("shard", "h", "t").select("t", "shard")
+        moved = part.mapInArrow(_train(model, rate / (1 + r), batch), "block int, shard int, row binary, n binary, v binary")
+        means = moved.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_average(shape), "row binary, v binary").toArrow()
         flat = model.flat.reshape(-1, DIM).copy()
         for row, v in zip(means.column("row").to_pylist(), means.column("v").to_pylist()):
             flat[np.frombuffer(row, np.int32)] = np.frombuffer(v, np.float32).reshape(-1, DIM)
@@ -337,7 +396,8 @@ def score_documents(docs: DataFrame, model: WindowModel, text_col: str = "text",
     """Adds n_tokens, log_prob (sum over all tokens of a text) and mean_log_prob.
 
     Null and empty texts and texts without words have no tokens, log_prob 0 and mean_log_prob null. Rows are
-    independent: repeated rows get equal scores, up to rounding in single precision. Input columns named like the new ones give way to them.
+    independent: repeated rows get equal scores. Very long texts are read in pieces and scored in blocks. An empty table
+    gives an empty result. Input columns named like the new ones give way to them.
     """
 
     def make():

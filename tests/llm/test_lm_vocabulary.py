@@ -42,3 +42,40 @@ def test_lm_shared_places():
         slope = (loss(up) - loss(down)) / 2e-5
         assert slope == pytest.approx(grad[k] * np.sign(flat[k] - t.flat[k]), rel=1e-2, abs=1e-6)
     assert set(t.moved(flat)[0].tolist()) == set(np.flatnonzero((t.flat != flat).reshape(-1, lm_scoring.DIM).any(1)).tolist())
+
+
+def test_lm_scores_as_brute_force(spark):
+    """Token by token: mean of the neighbours' embeddings, softmax over groups, over places, over what shares a place."""
+    words = [f"{chr(97 + k % 26)}{k}zing" for k in range(1500)]
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(" ".join(words)).alias("text"))
+    model = lm_scoring.train_model(docs, rounds=1, min_count=50)
+    p = {k: v.astype(np.float64) for k, v in lm_scoring.unpack(model.flat, model.shape).items()}
+    g, own = model.shape.groups, model.shape.groups**2 - model.shape.shared
+
+    def log_softmax(z, k):
+        return z[k] - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    texts = [" ".join(words[3:9]) + " unseen words", "one", "", None, f"{words[5]} {words[1400]}\n{words[1400]}"]
+    sums, counts = model.score(texts)
+    for t, got, n in zip(texts, sums, counts):
+        ids = model.tokens([t])[0].tolist()
+        want = 0.0
+        for at, token in enumerate(ids):
+            near = [ids[at + o] if 0 <= at + o < len(ids) else model.shape.vocab for o in (-2, -1, 1, 2)]
+            h = np.tanh(p["emb"][near].mean(0))
+            place, member = (token, None) if token < own else (own + (token - own) // g, (token - own) % g)
+            group, spot = divmod(place, g)
+            want += log_softmax(p["w1"] @ h + p["b1"], group) + log_softmax(p["w2"] @ np.tanh(h + p["grp"][group]) + p["b2"][group], spot)
+            if member is not None:
+                want += log_softmax(p["w3"] @ np.tanh(h + p["slot"][place - own]) + p["b3"][place - own], member)
+        assert n == len(ids) and got == pytest.approx(want, abs=1e-3)
+
+
+def test_lm_depends_on_the_table_alone(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 2000)
+    rows = [(k, " ".join(f"w{(k * j) % 37}" for j in range(30))) for k in range(90)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (lm_scoring.train_model(d, rounds=2, batch=64) for d in (docs.repartition(1), docs.repartition(5)))
+    assert (a.flat == b.flat).all() and (a.words == b.words).all()
+    together, alone = a.score([t for _, t in rows])[0], [a.score([t])[0][0] for _, t in rows]
+    assert together.tolist() == alone
