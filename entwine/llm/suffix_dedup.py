@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, U64, encoded, mix, ship_package, staged
+from .common import ByteHash, U64, encoded, mix, ship_package, slices, staged
 
 THRESHOLD = 400
 GRAM = 145
@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _cut(as_text: bool):
     def run(batches):
         names_ = ["n_removed", "n_spans", "kept", "kept_sha256"]
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, column=-2)):
             n = b.num_columns
             removed, count, kept, sha = [], [], [], []
             for text, spans in zip(b.column(n - 2), b.column(n - 1)):
