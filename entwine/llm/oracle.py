@@ -23,7 +23,17 @@ walk AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, w
 SELECT x.vec_id, (SELECT count(*) FROM links l WHERE l.a = x.vec_id) AS n_links, r.root AS component_id, x.vec_id = r.root AS kept
 FROM embeddings x JOIN (SELECT id, min(root) AS root FROM walk GROUP BY id) r ON r.id = x.vec_id"""
 
-SQL["op6_suffix_dedup"] = """
+# In hex: what a cut leaves of a character at the start of a piece, and at its end.
+_SPLIT = ["^([89AB][0-9A-F])+", "([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$"]
+
+
+def _whole(x: str) -> str:
+    for pattern in _SPLIT:
+        x = f"regexp_replace({x}, '{pattern}', '')"
+    return x
+
+
+SQL["op6_suffix_dedup"] = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
 p AS (SELECT doc_id, pos, hash(b[pos + 1 : pos + 400]) AS k FROM (SELECT doc_id, b, unnest(range(0, greatest(0, n - 399))) AS pos FROM d)),
 again AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
@@ -31,7 +41,20 @@ hit AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS
 run AS (SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM hit),
 span AS (SELECT doc_id, r, min(pos) AS s, max(pos) + 400 AS e FROM run GROUP BY doc_id, r),
 gap AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS since FROM span),
-cut AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * since + 1, 2 * (s - since)), '' ORDER BY s) AS head FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+piece AS (SELECT doc_id, s, e, substr(h, 2 * since + 1, 2 * (s - since)) AS x FROM gap JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(x, '' ORDER BY s) AS head, string_agg({_whole('x')}, '' ORDER BY s) AS clean FROM piece GROUP BY doc_id)
 SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256
+  sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256,
+  decode(unhex(concat(coalesce(clean, ''), {_whole('substr(h, 2 * coalesce(last, 0) + 1)')}))) AS text
 FROM d LEFT JOIN cut USING (doc_id)"""
+
+SQL["op9_decontamination"] = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+i AS (SELECT item_id, ws, len(ws) AS l, least(5, len(ws)) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) > 0),
+bag AS (SELECT item_id, s, count(*) AS c FROM (SELECT item_id, array_to_string(ws[p : p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, l - k + 2)) AS p FROM i)) GROUP BY ALL),
+sh AS (SELECT id, k, p - 1 AS pos, len(ws) AS n, array_to_string(ws[p : p + k - 1], ' ') AS s FROM (SELECT d.id, d.ws, x.k, unnest(range(1, len(d.ws) - x.k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) x)),
+hit AS (SELECT sh.id, i.item_id, sh.pos, sh.s, bag.c, least(i.l, sh.n) AS size, sh.n, i.l, i.k FROM sh JOIN bag ON bag.s = sh.s JOIN i ON i.item_id = bag.item_id AND i.k = sh.k),
+win AS (SELECT id, item_id, s, c, size, l, k, unnest(range(greatest(0, pos - size + k), least(pos, n - size) + 1)) AS w FROM hit),
+common AS (SELECT id, item_id, w, size, l, k, sum(least(n, c)) AS c FROM (SELECT id, item_id, w, size, l, k, s, c, count(*) AS n FROM win GROUP BY ALL) GROUP BY ALL),
+scored AS (SELECT id, item_id, w, size, c::DOUBLE / ((size - k + 1) + (l - k + 1) - c) AS similarity FROM common)
+SELECT id AS doc_id, item_id, similarity, w AS word_start, size::INT AS n_words FROM (SELECT *, row_number() OVER (PARTITION BY id, item_id ORDER BY similarity DESC, w) AS r FROM scored WHERE similarity >= 0.75) WHERE r = 1"""

@@ -46,7 +46,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import match_benchmark
 
     out = match_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.similarity", "m.word_start", "m.n_words")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = b"replace this key in production") -> DataFrame:

@@ -255,7 +255,7 @@ def _cut(as_text: bool):
                 rest = b"".join(out)
                 removed.append(gone)
                 count.append(runs)
-                kept.append(rest.decode("utf-8", "replace") if as_text else rest)
+                kept.append("".join(x.decode("utf-8", "ignore") for x in out) if as_text else rest)
                 sha.append(hashlib.sha256(rest).hexdigest())
             cols = [pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n - 2)] + cols, names=b.schema.names[: n - 2] + names_)
@@ -266,7 +266,7 @@ def _cut(as_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the remaining bytes.
 
-    as_text: kept is a string, in which a character that a cut has split shows as U+FFFD.
+    as_text: kept is a string, without the characters that a cut has split.
 
     Every byte in a string of 400 bytes that starts anywhere else too goes. Null texts count as empty; texts under
     400 bytes lose nothing. Rows are documents of their own, so a row that occurs twice loses all it can. Null and

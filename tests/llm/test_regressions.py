@@ -162,4 +162,6 @@ def test_suffixes_of_copies_and_of_periodic_texts(spark):
     for r in suffix_dedup.remove_repeats(df, as_text=True).collect():
         mask = gone[r["doc_id"]]
         rest = np.frombuffer(raws[r["doc_id"]], np.uint8)[~mask].tobytes()
-        assert (r["n_bytes"], r["n_removed"], r["kept"]) == (len(mask), mask.sum(), rest.decode("utf-8", "replace"))
+        runs = [g.tobytes() for g in np.split(np.frombuffer(raws[r["doc_id"]], np.uint8), np.flatnonzero(np.diff(mask)) + 1)][int(mask[:1].any()) :: 2]
+        assert (r["n_bytes"], r["n_removed"], len(rest)) == (len(mask), mask.sum(), sum(map(len, runs)))
+        assert r["kept"] == "".join(x.decode("utf-8", "ignore") for x in runs)
