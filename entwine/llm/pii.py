@@ -14,6 +14,7 @@ honorifics of one gender only.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 from bisect import bisect_right
@@ -308,6 +309,11 @@ def _listed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return map_text(docs, text_col, [T.StructField("entities", ENTITIES)], make, keep=keep).select(*keep, F.explode("entities").alias("e")).select(*keep, "e.*")
 
 
+def key_of_environment() -> bytes:
+    """The key of the entry points: ENTWINE_PII_KEY. Without it a fixed one, with which anybody can draw the same surrogates."""
+    return os.environ.get("ENTWINE_PII_KEY", "a key that everybody knows").encode()
+
+
 def entity_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct entities of all documents: kind, value, gender (of given names: m or f if no document tells another)."""
     least, most = F.min(F.when(F.col("gender") != "n", F.col("gender"))), F.max(F.when(F.col("gender") != "n", F.col("gender")))

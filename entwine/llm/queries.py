@@ -49,10 +49,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.similarity", "m.word_start", "m.n_words")
 
 
-def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = b"replace this key in production") -> DataFrame:
-    from .pii import replace_entities
+def op10_pii(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    from .pii import key_of_environment, replace_entities
 
-    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key or key_of_environment())
     return out.select("doc_id", "text", "n_entities", "entities")
 
 

@@ -2,9 +2,10 @@
 
 Groups of equal texts are atomic and ordered by the SHA-256 of their text. The smallest capacity for which the
 ordered groups fit into the shards is found by binary search with a greedy check, then the order is cut there.
-Groups larger than an even share come first and take a shard each, so that the others still share theirs evenly.
+Groups larger than an even share come first in the order and take a shard each; the capacity of the shards after them is
+minimised anew, so that the others still share theirs evenly.
 
-The driver never holds all groups: it starts from the bytes of at most 16**4 ranges of the order, searches with
+The driver never holds all groups: it starts from the bytes of at most 16**3 ranges of the order, searches with
 bounds, and asks only for finer ranges around cuts that are still open.
 """
 
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-COARSE = 4  # hex digits of the first ranges
-FINER = 3  # hex digits added each round
+COARSE = 3  # hex digits of the first ranges
+FINER = 2  # hex digits added each round
 DIGEST = 64
 
 
@@ -117,8 +118,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     others = rows.filter(~F.col("group_key").isin(giants)) if giants else rows
 
     def summary(df: DataFrame, digits: int):
-        """Bytes of each range; whether it is a single group shows in its least and greatest key."""
-        return df.groupBy(F.substring("group_key", 1, digits).alias("p")).agg(F.sum("size").alias("b"), F.min("group_key").alias("lo"), F.max("group_key").alias("hi"))
+        """Name and bytes of each range, and whether it is a single group, which goes by its whole key."""
+        out = df.groupBy(F.substring("group_key", 1, digits).alias("p")).agg(F.sum("size").alias("b"), F.min("group_key").alias("lo"), F.max("group_key").alias("hi"))
+        one = F.col("lo") == F.col("hi")
+        return out.select(F.when(one, F.col("lo")).otherwise(F.col("p")).alias("p"), "b", F.when(one, 1).otherwise(2).alias("n"))
 
     def refine(prefixes: list[str]):
         by_len: dict[int, list[str]] = {}
@@ -128,10 +131,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
             digits = min(DIGEST, k + FINER)
             hit = others.filter(F.substring("group_key", 1, k).isin(ps))
             for r in summary(hit, digits).collect():
-                one = r["lo"] == r["hi"]
-                yield (r["lo"] if one else r["p"]), r["b"], 1 if one else 2, r["p"][:k]
+                yield r["p"], r["b"], r["n"], r["p"][:k]
 
-    first = [(r["lo"] if r["lo"] == r["hi"] else r["p"], r["b"], 1 if r["lo"] == r["hi"] else 2) for r in summary(others, COARSE).collect()] if n else []
+    first = [tuple(r) for r in summary(others, COARSE).collect()] if n else []
     cuts = minimax_cuts(sorted(first), refine, left, largest)
 
     shard = F.lit(len(giants))
