@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entwine.llm import bpe, decontamination, language_id, minhash, pii
-from entwine.llm.common import fold, staged, table, tokenizer_path
+from entwine.llm.common import drop_staged, fold, staged, table, tokenizer_path
 
-#: Pass your own in production: surrogates can be recomputed by whoever knows it.
-PII_KEY = b"replace this key in production"
+#: Surrogates can be drawn again by whoever knows it; ENTWINE_PII_KEY sets it.
+PII_KEY = pii.key_of_environment()
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline_{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        after = staged(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        if k:
+            drop_staged(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,10 @@
 
 import io
 import json
+import os
 from contextlib import redirect_stdout
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from entwine.functions.normalize import normalize_entity
 from entwine.operators import blocking as B
 from entwine.operators import groups as G
 from entwine.operators import matching as M
-from entwine.operators.search import top_k, top_k_in_block
+from entwine.operators.search import similar, similar_pairs, top_k, top_k_in_block
+from entwine.plans.shared import scratch, staged
 from entwine.service import Linker
-from entwine.sources.embedder import embed_texts
+from entwine.sources.embedder import cached, embed_texts
 from entwine.sources.json_io import read_entities
+from entwine.sources.store import Conflict, EntityStore
 from entwine.streaming.ingest import stream_entities, windowed_counts
 
 SAMPLE = [
@@ -170,3 +174,60 @@ def test_config(tmp_path, monkeypatch):
     path.write_text(path.read_text().replace('"default_limit": 10', '"default_limit": 3').replace('"enabled": false', '"enabled": true'))
     c = config.load(str(path))
     assert c.matching.default_limit == 7 and c.clustering.enabled and config.load("missing.yaml").matching.similarity_threshold == 0.85
+
+
+def test_store_versions(spark, tmp_path):
+    """No update is lost: appends add to what others wrote, other changes refuse to overwrite it."""
+    a, b = (EntityStore(spark, f"file://{tmp_path}/s", buckets=4) for _ in range(2))
+    a.create()
+    rows = lambda *ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "id string, name string")
+    a.add(rows("1", "2"))
+    number, state = b._state()
+    a.add(rows("3"))
+    with pytest.raises(Conflict):
+        b._point(number, state)
+    b.add(rows("4"))
+    assert {r["id"] for r in a.read().collect()} == {"1", "2", "3", "4"} and b.count() == 4
+    twice = spark.createDataFrame([("1", "x"), ("1", "y"), ("9", "z")], "id string, name string")
+    a.update(twice)
+    assert {r["id"]: r["name"] for r in a.read().collect()} == {"1": "y", "2": "n2", "3": "n3", "4": "n4"}
+    before = a._state()[1]["parts"]
+    a.upsert(spark.createDataFrame([("2", "new"), ("5", "n5"), ("", "blank"), (None, "blank")], "id string, name string"))
+    got = {r["id"]: r["name"] for r in a.read().collect()}
+    assert got.pop("2") == "new" and sorted(got.values()) == ["blank", "n3", "n4", "n5", "y"]
+    touched = a._touched(a._state()[1], spark.createDataFrame([(i,) for i in got if len(i) == 64] + [("2",), ("5",)], "id string"))
+    assert all(ps == before[x] for x, ps in a._state()[1]["parts"].items() if x not in touched)
+    assert a.get("3").first()["name"] == "n3" and len(a.get("3").inputFiles()) <= 2 and a.get("none").count() == 0
+    for k in range(10, 20):
+        a.add(rows(str(k)))
+    a.compact()
+    assert max(map(len, a._state()[1]["parts"].values())) <= 8 and a.count() == 16
+    a.delete(rows(*map(str, range(20))))
+    assert {r["name"] for r in a.read().collect()} == {"blank"}
+
+
+def test_similar_pairs(spark):
+    rng = np.random.RandomState(1)
+    x = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(f"k{i:02d}", v.tolist()) for i, v in enumerate(x)] + [("n", None), ("o", [1.0]), ("p", [1.0, None, 0.0, 0.0])], "id string, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"k{i:02d}", f"k{j:02d}") for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.6, 1)))}
+    for block in (7, 1000):
+        assert {(r["a"], r["b"]) for r in similar_pairs(rows, 0.6, block_rows=block).collect()} == want
+    asked = rows.filter("id < 'k05'").withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["id"]) for r in similar(asked, rows, 0.6).collect()}
+    assert got == {(a, b) for a, b in want | {(b, a) for a, b in want} | {(f"k{i:02d}", f"k{i:02d}") for i in range(5)} if a < "k05"}
+
+
+def test_scratch(spark, tmp_path):
+    with scratch():
+        path = staged(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_embedding_cache():
+    asked = []
+    ask = cached(lambda texts: asked.append(texts) or [[float(len(t))] for t in texts], "model", 2)
+    assert ask(["a", "bb", "a", "ccc"]) == [[1.0], [2.0], [1.0], [3.0]] and ask(["bb", "ccc"]) == [[2.0], [3.0]]
+    assert asked == [["a", "bb", "ccc"], ["ccc"]]
