@@ -40,7 +40,10 @@ class Vocabulary:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         alphabet = byte_alphabet()
         back = {c: b for b, c in enumerate(alphabet)}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip blanks or want whole words are not supported")
+        self.special = {t["content"]: t["id"] for t in added}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -142,14 +145,16 @@ class ByteBPE:
         none = 1 << 62
         sym = self.v.byte_ids[np.frombuffer(piece, np.uint8)]
         first = self._rank(sym[:-1], sym[1:]).astype(np.int64)
-        leaves = np.full(width, none, np.int64)
-        leaves[: n - 1] = np.where(first == NONE, none, first * width + np.arange(n - 1))
-        levels = [leaves]
-        while len(levels[-1]) > 1:
-            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
-        tree = [none] + [x for level in reversed(levels) for x in level.tolist()]
-        sym, right, left = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        merged, rank_of = self.v.merged.tolist(), self.rank_of
+        heap = np.full(2 * width, none, np.int64)
+        heap[width : width + n - 1] = np.where(first == NONE, none, first * width + np.arange(n - 1))
+        level = width
+        while level > 1:
+            level //= 2
+            heap[level : 2 * level] = np.minimum(heap[2 * level : 4 * level : 2], heap[2 * level + 1 : 4 * level : 2])
+        # Views give Python's integers without holding them all.
+        ids, after_, before_ = sym.astype(np.int64), np.arange(1, n + 1), np.arange(-1, n - 1)
+        tree, sym, right, left = (memoryview(x) for x in (heap, ids, after_, before_))
+        merged, rank_of = memoryview(self.v.merged), self.rank_of
 
         def put(pos: int, value: int) -> None:
             node = pos + width
@@ -179,7 +184,7 @@ class ByteBPE:
             if before >= 0:
                 r = rank_of.get(sym[before] << 32 | sym[i])
                 put(before, none if r is None else r * width + before)
-        return np.array([s for s in sym if s >= 0], "<u4").tobytes()
+        return ids[ids >= 0].astype("<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.known) + len(pieces) > CACHE:

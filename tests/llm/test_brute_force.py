@@ -360,3 +360,24 @@ def test_pipeline(spark, texts):
         expect = pii.replace(texts[i], corpus_pipeline.PII_KEY, {})[0]
         assert r["text"] == expect and r["round_trip"]
         assert r["n_tokens"] == len(mine.encode(expect))
+
+
+def test_language_as_brute_force(spark, docs, texts):
+    """Mean of the n-grams' embeddings through the softmax, gram by gram."""
+    model = language_id.fit_language_model(docs, sample_rows=200)
+    some = [t for t in texts.values() if t][:25] + ["", None, "123", "Ünï x", "a"]
+    lang, score, ok = model.predict(some)
+    for t, name, p, accepted in zip(some, lang, score, ok):
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {(t or '').lower()}".encode())
+        z = np.zeros(len(model.langs))
+        for n in (2, 3, 4):
+            for k in range(len(raw)):
+                gram = (raw[k:] + b" " * 4)[:n]
+                code = sum(c << 8 * i for i, c in enumerate(gram))
+                z += model.scores[((code ^ n * 0x3C6EF372) * 2654435761 & 0xFFFFFFFF) >> (32 - language_id.BITS)]
+        z = (z / (3 * len(raw)) + model.bias) / model.temperature
+        e = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (name, p, accepted) == ("und", 0.0, False)
+        else:
+            assert name == model.langs[int(e.argmax())] and p == pytest.approx(e.max(), abs=1e-4) and accepted == (e.max() >= model.least)

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from prefix_doubling import repeated_positions
 
 from entwine.llm import decontamination, minhash, pii, quality, suffix_dedup
 from entwine.llm.common import exact_shingles, word_hashes
@@ -165,3 +166,16 @@ def test_suffixes_of_copies_and_of_periodic_texts(spark):
         runs = [g.tobytes() for g in np.split(np.frombuffer(raws[r["doc_id"]], np.uint8), np.flatnonzero(np.diff(mask)) + 1)][int(mask[:1].any()) :: 2]
         assert (r["n_bytes"], r["n_removed"], len(rest)) == (len(mask), mask.sum(), sum(map(len, runs)))
         assert r["kept"] == "".join(x.decode("utf-8", "ignore") for x in runs)
+
+
+def test_suffixes_as_plain_prefix_doubling(spark):
+    rng = np.random.RandomState(12)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    core = word(700)
+    texts = [core, word(20) + core[40:600], "xy" * 300, core[:420] + "é", word(500), core[300:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = [np.zeros(len(t.encode()), bool) for t in texts]
+    for r in repeated_positions(df).collect():
+        gone[r["doc"]][r["pos"] : r["pos"] + 400] = True
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {d: int(g.sum()) for d, g in enumerate(gone)} and sum(got.values())
