@@ -57,7 +57,8 @@ def candidate_pairs(df: DataFrame, columns: list[str], id_col: str = "id", inclu
     """Pairs of records in the same block, smaller id first: cluster_id, id_a, id_b, <column>_a, <column>_b.
 
     An equi-join on the block: adaptive execution splits blocks that are too large for a task. The block of records
-    without a key is left out unless asked for, as all of its pairs would be quadratic.
+    without a key is left out unless asked for, as all of its pairs would be quadratic; block_sizes() tells how many
+    these are.
     """
     rows = df if include_default else df.filter(F.col("cluster_id") != DEFAULT_BLOCK)
     a = rows.select("cluster_id", F.col(id_col).alias("id_a"), *[F.col(c).alias(f"{c}_a") for c in columns])

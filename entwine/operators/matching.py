@@ -123,7 +123,8 @@ def find_matches(queries: DataFrame, entities: DataFrame, options: MatchOptions
     """Matches of prepared queries (query_id, fields, vector, cluster_id) among prepared entities.
 
     Columns: query_id, id, rank, score, vector_score, matched_on, explanation, the fields of the match, and
-    score_<field> when fields are scored. The threshold holds before the blend; ties go by id.
+    score_<field> when fields are scored. The threshold holds before the blend; ties go by id. Inside blocks the
+    OVERFETCH * limit nearest vectors are blended, so a record that is only near by its fields is not found there.
     """
     blocks = clustering if options.use_clustering is None else options.use_clustering
     want = options.limit * OVERFETCH if blocks else options.limit

@@ -214,7 +214,9 @@ def block_sizes(spark, sf_dir):
 
 @query
 def block_candidate_pairs(spark, sf_dir):
-    return B.candidate_pairs(_blocked(spark, sf_dir), []).select("cluster_id", "id_a", "id_b")
+    # Written once: the two sides of the join would each normalize all records.
+    blocked = staged(_blocked(spark, sf_dir).select("cluster_id", "id"), "blocked")
+    return B.candidate_pairs(blocked, []).select("cluster_id", "id_a", "id_b")
 
 
 # Matching
@@ -501,6 +503,6 @@ def json_groups(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalize, block, compare names in blocks, keep the good pairs, best first."""
     ship_package(spark)
-    pairs = B.candidate_pairs(_blocked(spark, sf_dir), ["name"])
+    pairs = B.candidate_pairs(staged(_blocked(spark, sf_dir).select("cluster_id", "id", "name"), "blocked"), ["name"])
     scored = pairs.select("cluster_id", "id_a", "id_b", rounded(S.name_similarity(F.col("name_a"), F.col("name_b"))).alias("score"))
     return scored.filter("score >= 0.85").orderBy(F.desc("score"), "id_a", "id_b")
