@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from prefix_doubling import repeated_positions
 
-from entwine.llm import decontamination, minhash, pii, quality, suffix_dedup
+from entwine.llm import decontamination, embedding_dedup, minhash, pii, quality, suffix_dedup
 from entwine.llm.common import exact_shingles, word_hashes
 
 KEY = b"test"
@@ -179,3 +179,16 @@ def test_suffixes_as_plain_prefix_doubling(spark):
         gone[r["doc"]][r["pos"] : r["pos"] + 400] = True
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()}
     assert got == {d: int(g.sum()) for d, g in enumerate(gone)} and sum(got.values())
+
+
+@pytest.mark.parametrize("hashes, tables", [(2, 10), (3, 18), (4, 32)])
+def test_recall_at_the_threshold(hashes, tables):
+    """Pairs with a cosine of just 0.95 meet in a bucket, in each setting that near_vectors takes."""
+    rng = np.random.RandomState(hashes)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(1000, 64)))
+    n = rng.normal(size=a.shape)
+    n = unit(n - (n * a).sum(1, keepdims=True) * a)
+    x, y = (embedding_dedup.buckets(v, embedding_dedup.rotations(64, tables, hashes)) for v in (a, 0.95 * a + np.sqrt(1 - 0.95**2) * n))
+    met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1)
+    assert met.mean() >= 0.995
