@@ -58,3 +58,27 @@ win AS (SELECT id, item_id, s, c, size, l, k, unnest(range(greatest(0, pos - siz
 common AS (SELECT id, item_id, w, size, l, k, sum(least(n, c)) AS c FROM (SELECT id, item_id, w, size, l, k, s, c, count(*) AS n FROM win GROUP BY ALL) GROUP BY ALL),
 scored AS (SELECT id, item_id, w, size, c::DOUBLE / ((size - k + 1) + (l - k + 1) - c) AS similarity FROM common)
 SELECT id AS doc_id, item_id, similarity, w AS word_start, size::INT AS n_words FROM (SELECT *, row_number() OVER (PARTITION BY id, item_id ORDER BY similarity DESC, w) AS r FROM scored WHERE similarity >= 0.75) WHERE r = 1"""
+
+# Giants first, a shard each; then a binary search for the least capacity, one greedy step in each row of `search`.
+SQL["op2_sharding"] = """
+WITH RECURSIVE
+tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(0, 8)), lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size, sha256(coalesce(text, '')) AS k FROM documents),
+once AS (SELECT k, text, list_concat([4294967295], list_transform(range(0, strlen(text)), lambda i: CAST(concat('0x', hex(encode(text))[2 * i + 1 : 2 * i + 2]) AS BIGINT))) AS bytes FROM (SELECT DISTINCT k, text FROM d)),
+crc AS (SELECT k, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM once, tab),
+g AS (SELECT k, sum(size)::BIGINT AS size FROM d GROUP BY k),
+o AS (SELECT *, row_number() OVER (ORDER BY size DESC, k) AS r, sum(size) OVER () - coalesce(sum(size) OVER (ORDER BY size DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM g),
+big AS (SELECT k, r FROM o WHERE r < coalesce((SELECT min(r) FROM o WHERE NOT (size * (25 - r) > rest AND r < 24)), 1e9)),
+other AS (SELECT k, size, sum(size) OVER (ORDER BY k)::BIGINT AS cum, row_number() OVER (ORDER BY k) AS i FROM g WHERE k NOT IN (SELECT k FROM big)),
+facts AS (SELECT 24 - (SELECT count(*) FROM big) AS shards, count(*) AS n, coalesce(sum(size), 0)::BIGINT AS total, coalesce(max(size), 0)::BIGINT AS largest, list_concat([0], list(cum ORDER BY i)) AS cum FROM other),
+search AS (
+  SELECT greatest(largest, -(-total // shards)) AS lo, total AS hi, 0::BIGINT AS pos, 0 AS used FROM facts
+  UNION ALL
+  SELECT CASE WHEN pos < n AND used = shards THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN pos = n THEN (lo + hi) // 2 ELSE hi END,
+    CASE WHEN pos = n OR used = shards THEN 0 ELSE len(list_filter(cum, lambda c: c <= cum[pos + 1] + (lo + hi) // 2)) - 1 END, CASE WHEN pos = n OR used = shards THEN 0 ELSE used + 1 END
+  FROM search, facts WHERE lo < hi),
+best AS (SELECT min(hi) AS capacity FROM search),
+cut AS (SELECT 0 AS s, 0::BIGINT AS first UNION ALL SELECT s + 1, len(list_filter(cum, lambda c: c <= cum[first + 1] + capacity)) - 1 FROM cut, facts, best WHERE first < n AND s < shards),
+place AS (SELECT k, (r - 1)::INT AS shard FROM big UNION ALL SELECT k, ((SELECT count(*) FROM big) + (SELECT max(s) FROM cut WHERE first < i))::INT FROM other)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY sha256(coalesce(doc_id::VARCHAR, ''))[1:1], doc_id, k) - 1 AS slot, NULL::INT AS grown_shard, k AS group_key
+FROM d JOIN crc USING (k) JOIN place USING (k)"""

@@ -55,7 +55,8 @@ def minimax_cuts(ranges, refine, shards: int, largest: int) -> list[str]:
 
     ranges: sorted [(prefix, bytes, groups)], the whole order. refine(prefixes) gives the finer ranges of some.
     A range of one group is exact. Bounds: capacity for which cuts at range borders suffice is enough (high);
-    one for which even ranges split for free don't suffice is too small (low).
+    one for which even ranges split for free don't suffice is too small (low). Ranges are refined until the capacity
+    is known and no cut falls into one, so the cuts are those of the greedy check over single groups.
     """
     ranges = list(ranges)
     total = sum(r[1] for r in ranges)
@@ -74,7 +75,7 @@ def minimax_cuts(ranges, refine, shards: int, largest: int) -> list[str]:
             early += [len(ranges)] * (shards - len(early))
             late += [len(ranges)] * (shards - len(late))
             open_ = {r for a, b in zip(early, late) for r in range(min(a, b) - 1, max(a, b) + 1) if 0 <= r < len(ranges) and ranges[r][2] > 1}
-            if open_ and low < high:
+            if open_:
                 finer = {}
                 for p, size, n, parent in refine([ranges[i][0] for i in sorted(open_)]):
                     finer.setdefault(parent, []).append((p, size, n))
@@ -89,7 +90,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
 
     Returns id, size, text_crc32, law, shard, slot, grown_shard and group_key (hex SHA-256 of the text). A null
     text counts as empty and shares the group of empty texts; its size is the overhead alone. Repeated ids are
-    rows of their own. Slots run without gaps from 0 in each shard, in the order of a hash bucket of the row, then id.
+    rows of their own. Slots run without gaps from 0 in each shard, in the order of the first digits of the SHA-256 of the id, then id.
     An empty table gives an empty result. Other input columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -143,8 +144,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         shard = F.when(F.col("group_key") == g, F.lit(i)).otherwise(shard)
     placed = rows.withColumn("shard", shard.cast("int"))
 
-    buckets = max(1, n // rows_a_bucket)
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(buckets, 16))))
+    digits = 1
+    while 16**digits * rows_a_bucket < n:
+        digits += 1
+    placed = placed.withColumn("bucket", F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, digits))
     start = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("c")).select("shard", "bucket", F.coalesce(F.sum("c").over(start), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "group_key")
