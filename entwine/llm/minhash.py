@@ -6,9 +6,10 @@ place, so no permutation is stored.
 
 Texts with equal shingle sets make a class; all further work is on one representative of each. Documents that
 share a band are compared with the smallest one of a bucket first; only where a bucket still holds
-several components are its other pairs looked at: exact intersections come from products of incidence matrices,
-block by block, of which only the links between components leave the task. So a large group of copies costs a few
-rows for each member, and no pair between components goes unchecked, whatever the size of a bucket.
+several components are its other pairs looked at, block by block. Counts of shingles in cells bound the size of an
+intersection from above: members whose bounds all fall short are out. For the others exact intersections come from
+products of incidence matrices, of which only the links between components leave the task. So a large group of copies
+costs a few rows for each member, and no pair between components goes unchecked, whatever the size of a bucket.
 
 Words are hashed by keyed BLAKE2b, and every link that counts is confirmed on the shingles themselves.
 """
@@ -133,6 +134,65 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
+def cells(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each cell of their hashes' lowest bits; about four a cell."""
+    n = 1 << max(4, (len(shingles) // 4).bit_length())
+    return np.minimum(np.bincount((shingles & U64(n - 1)).astype(np.int64), minlength=n), 65535).astype(np.uint16)
+
+
+def fold_cells(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) == n else x.reshape(-1, n).sum(0, dtype=np.int64)
+
+
+def may_link(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the members have one in another component on the other side that they may be similar to, by cells."""
+    out = np.zeros(len(sets), bool)
+    width = np.array([len(x) for x in sets])
+    full = np.array([(x == 65535).any() for x in sets])  # a count that is too large for its cell tells nothing
+    for i in left.tolist():
+        a, b = np.minimum(sizes[i], sizes[right]), np.maximum(sizes[i], sizes[right])
+        open_ = right[(component[right] != component[i]) & (100 * a >= percent * b)]
+        for n in np.unique(np.minimum(width[open_], width[i])).tolist():
+            mine = open_[np.minimum(width[open_], width[i]) == n]
+            own = fold_cells(sets[i], n)
+            for s in range(0, len(mine), max(1, (1 << 20) // n)):
+                part = mine[s : s + max(1, (1 << 20) // n)]
+                most = np.minimum(np.stack([fold_cells(sets[j], n) for j in part.tolist()]), own).sum(1, dtype=np.int64)
+                hit = part[full[i] | full[part] | (100 * most >= percent * (sizes[i] + sizes[part] - most))]
+                out[hit] = True
+                out[i] |= bool(len(hit))
+    return out
+
+
+def _bound(percent: int):
+    """Rows of members that may be similar to one of another component in their bucket."""
+
+    def run(batches):
+        for rows, (key, b1, b2) in whole_groups(batches, ("key", "b1", "b2")):
+            own, component = rows.column("own").to_numpy(), rows.column("component").to_numpy()
+            left = np.flatnonzero(own == b1)
+            right = left if b1 == b2 else np.flatnonzero(own == b2)
+            if not len(left) or not len(right) or component.min() == component.max():
+                continue
+            sets = [np.frombuffer(x, np.uint16) for x in rows.column("cells").to_pylist()]
+            hit = may_link(sets, rows.column("n_shingles").to_numpy(), left, right, component, percent)
+            if hit.any():
+                ids = rows.column("id").to_numpy()[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids)], names=["key", "id"])
+
+    return run
+
+
+def _in_blocks(members: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows of key, id and so on with what `carried` has for the id, once for each pair of blocks of the bucket."""
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("all_shingles") / BLOCK_SHINGLES), F.col("n")))
+    placed = members.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("parts", "other", "n", "all_shingles")
+    keys = ["key", "b1", "b2"]
+    return placed.join(carried, "id").repartition(*keys).sortWithinPartitions(*keys)
+
+
 def _cross(percent: int):
     """Links between components in blocks of buckets: as many as it takes to join those that belong together."""
 
@@ -171,17 +231,19 @@ def _root(low: np.ndarray, x: int) -> int:
     return x
 
 
+def _of_texts(texts: DataFrame, members: DataFrame, name: str, make) -> DataFrame:
+    wanted = texts.join(members.select("id").distinct(), "id", "left_semi")
+    out = map_text(wanted, "text", [T.StructField(name, T.BinaryType())], lambda: lambda texts: [[make(exact_shingles(t)).tobytes() for t in texts]], keep=["id"])
+    return staged(out, f"minhash_{name}")
+
+
 def _cross_links(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """mixed: key, n (members of the bucket), shingles (of all of them), id, component."""
-    members = mixed.select("id").distinct()
-    sets = map_text(texts.join(members, "id", "left_semi"), "text", [T.StructField("shingles", T.BinaryType())], lambda: lambda texts: [[exact_shingles(t).tobytes() for t in texts]], keep=["id"])
-    sets = staged(sets, "minhash_sets")
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("all_shingles") / BLOCK_SHINGLES), F.col("n")))
-    placed = mixed.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("key", "id", "component", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2")).join(sets, "id")
-    keys = ["key", "b1", "b2"]
-    return placed.select(*keys, "own", "id", "component", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross(percent), "a long, b long")
+    """mixed: key, n (members of the bucket), all_shingles (of all of them), id, component, n_shingles."""
+    blocks = _in_blocks(mixed, _of_texts(texts, mixed, "cells", cells))
+    near = staged(blocks.mapInArrow(_bound(percent), "key long, id long").distinct(), "minhash_near")
+    rest = staged(mixed.join(near, ["key", "id"], "left_semi"), "minhash_rest")
+    blocks = _in_blocks(rest, _of_texts(texts, rest, "shingles", lambda x: x))
+    return blocks.mapInArrow(_cross(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -227,10 +289,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = staged(connected_components(links, "a", "b"), "minhash_label")
     member = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
     placed = staged(shared.select("id", "key").join(member, "id"), "minhash_placed")
-    of_key = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    # Two members whose sizes don't fit need no look at their sets.
-    of_key = staged(of_key.filter("lo < hi").filter((F.col("n") > 2) | fits(F.col("least"), F.col("most"))).select("key", "n", "all_shingles"), "minhash_mixed_keys")
-    mixed = staged(placed.join(of_key, "key").select("key", "n", "all_shingles", "id", "component"), "minhash_mixed")
+    who = (F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(20,0)")).alias("y"))
+    of_key = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), *who)
+    # Two members whose sizes don't fit need no look at their sets; of buckets with the same members one is enough.
+    of_key = of_key.filter("lo < hi").filter((F.col("n") > 2) | fits(F.col("least"), F.col("most")))
+    of_key = of_key.groupBy("n", "x", "y", "all_shingles").agg(F.min("key").alias("key"))
+    of_key = staged(of_key.select("key", "n", "all_shingles"), "minhash_mixed_keys")
+    mixed = staged(placed.join(of_key, "key").select("key", "n", "all_shingles", "id", "component", "n_shingles"), "minhash_mixed")
     across = staged(_cross_links(mixed, texts, percent).distinct(), "minhash_across")
     links2 = links.unionByName(_verify(across, texts, percent))
     final = staged(connected_components(links2, "a", "b"), "minhash_components")
@@ -252,6 +317,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     per_id = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     out = docs.join(per_id.filter("not kept or n > 1").select(id_col), id_col, "left_anti").select(*docs.columns)
     again = staged(per_id.filter("kept and n > 1").select(id_col), "minhash_again")
+    if again.isEmpty():
+        return out
     plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     rows = docs.join(again, id_col, "left_semi").select(*docs.columns)
     one = rows.groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(f"`{text_col}`").isNotNull(), F.col(f"`{text_col}`"), F.xxhash64(*plain))).alias("__row"))

@@ -192,3 +192,21 @@ def test_recall_at_the_threshold(hashes, tables):
     x, y = (embedding_dedup.buckets(v, embedding_dedup.rotations(64, tables, hashes)) for v in (a, 0.95 * a + np.sqrt(1 - 0.95**2) * n))
     met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1)
     assert met.mean() >= 0.995
+
+
+def test_cells_bound_intersections():
+    rng = np.random.RandomState(1)
+    draw = lambda n: np.unique(rng.randint(0, 2**62, n).astype(np.uint64))
+    sets = []
+    for _ in range(60):
+        a = draw(rng.randint(1, 900))
+        sets += [a, np.unique(np.concatenate([a[: rng.randint(0, len(a) + 1)], draw(rng.randint(1, 200))]))]
+    cells = [minhash.cells(x) for x in sets]
+    n = np.array([len(x) for x in sets])
+    hit = minhash.may_link(cells, n, np.arange(len(sets)), np.arange(len(sets)), np.arange(len(sets)), 75)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(np.intersect1d(a, b))
+            if i != j and 100 * common >= 75 * (len(a) + len(b) - common):
+                assert hit[i] and hit[j]
+    assert not hit.all()
