@@ -52,8 +52,20 @@ def gram_codes(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def histogram(text: str | None) -> bytes:
+    """The buckets that occur and their shares, zeros left out."""
     codes, _ = gram_codes([text])
-    return sum(np.bincount(c[:-PAD], minlength=BUCKETS) for c in codes).astype(np.float32).tobytes()
+    counts = sum(np.bincount(c[:-PAD], minlength=BUCKETS) for c in codes)
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + (counts[at] / counts.sum()).astype("<f4").tobytes()
+
+
+def shares(rows: list[bytes]) -> np.ndarray:
+    """Histograms as one dense matrix."""
+    out = np.zeros((len(rows), BUCKETS), np.float32)
+    for row, h in zip(out, rows):
+        n = len(h) // 6
+        row[np.frombuffer(h, "<u2", n)] = np.frombuffer(h, "<f4", n, 2 * n)
+    return out
 
 
 @dataclass
@@ -82,10 +94,9 @@ class LanguageModel:
         )
 
 
-def train(hist: np.ndarray, labels: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 30, rate: float = 20.0, batch: int = 32, reject: float = 0.001, floor: float = 0.5, seed: int = 13) -> LanguageModel:
-    """SGD on 80 % of the rows; temperature and rejection threshold from the other 20 %."""
+def train(x: np.ndarray, labels: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 30, rate: float = 20.0, batch: int = 32, reject: float = 0.001, floor: float = 0.5, seed: int = 13) -> LanguageModel:
+    """SGD on 80 % of the rows; temperature and rejection threshold from the other 20 %. x: shares of the buckets, a row a text."""
     rng = np.random.RandomState(seed)
-    x = hist / np.maximum(hist.sum(1, keepdims=True), 1)
     order = rng.permutation(len(x))
     cut = max(1, len(x) - len(x) // 5)
     fit, val = order[:cut], order[cut:] if cut < len(x) else order
@@ -142,8 +153,9 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     if not got:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     got.sort(key=lambda r: (r["l"], str(r["k"]), r["h"]))
-    hist = np.stack([np.frombuffer(r["h"], np.float32) for r in got])
-    return train(hist, np.array([langs.index(r["l"]) for r in got]), langs, **options)
+    labels, x = np.array([langs.index(r["l"]) for r in got]), shares([r["h"] for r in got])
+    del got  # the driver holds the sample once
+    return train(x, labels, langs, **options)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
