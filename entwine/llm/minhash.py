@@ -315,7 +315,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = staged(near_duplicates(docs, id_col, text_col, percent).select(F.col("doc_id").alias(id_col), "kept"), "minhash_kept")
     per_id = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    out = docs.join(per_id.filter("not kept or n > 1").select(id_col), id_col, "left_anti").select(*docs.columns)
+    # As above, a merge join whatever the size.
+    out = docs.join(per_id.filter("not kept or n > 1").select(id_col).hint("merge"), id_col, "left_anti").select(*docs.columns)
     again = staged(per_id.filter("kept and n > 1").select(id_col), "minhash_again")
     if again.isEmpty():
         return out
