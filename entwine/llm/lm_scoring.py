@@ -39,7 +39,7 @@ MIN_COUNT = 256
 # Rows of weights travel packed, in so many parts.
 BLOCKS = 128
 # Bytes of text that one copy of the network trains on in a round.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 18 << 20
 # Tokens that a copy mixes at once.
 CHUNK = 1 << 20
 # Log-probabilities add up as whole multiples of this, so sums do not depend on their order.
