@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import drop_staged, staged
+from .vector_groups import VectorEdges, walk
 
 
 @dataclass(frozen=True)
@@ -62,12 +63,34 @@ def _walk(start: DataFrame, edges: DataFrame | Neighbours, least: float, hops: i
     return seen
 
 
+def _vector_groups(seeds: DataFrame, edges: VectorEdges, options: GroupOptions) -> DataFrame | None:
+    """match_groups without a bound of size; None if the vectors do not fit in a task."""
+    if options.strategy == "direct":
+        least = [options.threshold]
+    elif options.strategy == "transitive":
+        least = [options.threshold] * options.hops
+    elif options.strategy == "hybrid":
+        least = [max(options.threshold, options.direct_floor), *[options.threshold] * (options.hops - 1)]
+    else:
+        raise ValueError(f"unknown group strategy: {options.strategy}")
+    members = walk(seeds, edges, least, without_seed=options.strategy == "hybrid")
+    if members is None:
+        return None
+    primary = seeds.select(F.col("id").alias("group_id"), "id", F.lit(1.0).alias("score"), F.lit(0).alias("hop_distance")).distinct()
+    return primary.unionByName(members)
+
+
 def match_groups(seeds: DataFrame, edges: DataFrame | Neighbours, options: GroupOptions = GroupOptions()) -> DataFrame:
     """group_id, id, score, hop_distance: members of the group of each seed (column id), seed first with score 1.
 
-    edges: src, dst, score; or a function from ids to their edges, which is asked for each hop's frontier alone.
+    edges: src, dst, score; or a function from ids to their edges, which is asked for each hop's frontier alone. Of
+    VectorEdges, groups without a bound of size take a path whose disk does not grow with the paths.
     """
     most = options.max_size
+    if isinstance(edges, VectorEdges) and most is None:
+        out = _vector_groups(seeds, edges, options)
+        if out is not None:
+            return out
     primary = staged(seeds.select(F.col("id").alias("group_id"), "id", F.lit(1.0).alias("score"), F.lit(0).alias("hop_distance")).distinct(), "group_seeds")
     if options.strategy == "direct":
         out = _walk(primary, edges, options.threshold, 1, most)

@@ -14,6 +14,7 @@ from ..operators import blocking as B
 from ..operators import groups as G
 from ..operators import matching as M
 from ..operators.search import similar, similar_pairs, top_k, top_k_in_block
+from ..operators.vector_groups import VectorEdges
 from ..sources.json_io import read_entities, to_json_rows, write_json
 from ..sources.store import EntityStore
 from .fixture import FIELDS, entities, entity_pairs
@@ -345,13 +346,8 @@ def _seeds(spark, sf_dir):
 
 def _group(spark, sf_dir, max_size=None, **options):
     """Neighbours of each frontier are searched among all vectors."""
-    rows, _ = _vectors(spark, sf_dir)
-
-    def near(ids):
-        asked = rows.join(ids, "id").withColumnRenamed("id", "query_id")
-        return similar(asked, rows, 0.3).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
-
-    return G.match_groups(_seeds(spark, sf_dir), near, G.GroupOptions(threshold=0.3, max_size=max_size, **options))
+    edges = VectorEdges(_vectors(spark, sf_dir)[0], 0.3)
+    return G.match_groups(_seeds(spark, sf_dir), edges, G.GroupOptions(threshold=0.3, max_size=max_size, **options))
 
 
 def _members(df):

@@ -14,7 +14,10 @@ from entwine.functions.normalize import normalize_entity
 from entwine.operators import blocking as B
 from entwine.operators import groups as G
 from entwine.operators import matching as M
+from entwine.operators import vector_groups
 from entwine.operators.search import similar, similar_pairs, top_k, top_k_in_block
+from entwine.operators.vector_groups import VectorEdges
+from entwine.plans import queries
 from entwine.plans.shared import scratch, staged
 from entwine.service import Linker
 from entwine.sources.embedder import cached, embed_texts
@@ -101,6 +104,37 @@ def test_groups(spark):
     assert parts == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
+def test_groups_of_vectors_as_by_joins(spark, monkeypatch):
+    """Bits for each row and group give the members that joins give; a few groups and rows at a time give the same."""
+    rng = np.random.RandomState(5)
+    x = rng.normal(size=(240, 8))
+    x[7], x[8], x[9] = x[3], 0, x[3] * 2
+    rows = spark.createDataFrame([(f"v{k:03d}", v.tolist()) for k, v in enumerate(x)] + [("none", None), ("gap", [None] + [1.0] * 7)], "id string, vector array<double>")
+    seeds = spark.createDataFrame([(f"v{k:03d}",) for k in (*range(0, 240, 3), 8, 8)] + [("none",), ("gap",), ("unknown",)], "id string")
+    edges = VectorEdges(rows, 0.5)
+    get = lambda e, **o: sorted((r["group_id"], r["id"], round(r["score"], 9), r["hop_distance"]) for r in G.match_groups(seeds, e, G.GroupOptions(0.55, None, direct_floor=0.7, **o)).collect())
+    options = [{"strategy": "direct"}, {"strategy": "transitive", "hops": 0}, {"strategy": "transitive", "hops": 2}, {"strategy": "transitive", "hops": 4}, {"strategy": "hybrid", "hops": 3}]
+    want = [get(lambda ids: edges(ids), **o) for o in options]
+    assert len(want[1]) == 84 and max(r[3] for r in want[3]) > 2
+    monkeypatch.setattr(G, "staged", None)
+    assert [get(edges, **o) for o in options] == want
+    monkeypatch.setattr(vector_groups, "BIT_BYTES", 1)
+    monkeypatch.setattr(vector_groups, "CELLS", 5000)
+    assert [get(edges, **o) for o in options[3:]] == want[3:]
+    monkeypatch.undo()
+    twice = VectorEdges(rows.unionByName(rows.limit(3)), 0.5)
+    assert get(twice, **options[2]) == want[2]
+
+
+@pytest.mark.parametrize("name", ["group_stats", "group_hybrid", "group_transitive"])
+def test_group_queries_write_no_paths(spark, monkeypatch, name):
+    def written(df, tag):
+        raise AssertionError(f"{tag} is written")
+
+    monkeypatch.setattr(G, "staged", written)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
 def test_group_agreement(spark, sample):
     members = spark.createDataFrame([("g", "entity-001", 1.0), ("g", "entity-002", 0.9)], "group_id string, id string, score double")
     stats = G.group_stats(members).first()
