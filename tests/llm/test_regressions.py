@@ -3,10 +3,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from prefix_doubling import repeated_positions
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from entwine.llm import decontamination, embedding_dedup, minhash, pii, quality, suffix_dedup
+from entwine.llm import common, decontamination, embedding_dedup, minhash, pii, quality, suffix_dedup
 from entwine.llm.common import exact_shingles, word_hashes
 
 KEY = b"test"
@@ -210,3 +213,23 @@ def test_cells_bound_intersections():
             if i != j and 100 * common >= 75 * (len(a) + len(b) - common):
                 assert hit[i] and hit[j]
     assert not hit.all()
+
+
+def test_workers_keep_nothing_between_tasks(spark):
+    """Python workers live on from stage to stage: what an operator held must not add up to the next one's memory."""
+    docs = spark.range(0, 400, 1, 8).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda x: F.concat(F.lit("w"), (F.col("id") * 61 + x).cast("string")))).alias("text"))
+    out = common.map_text(docs, "text", [T.StructField("n", T.LongType())], lambda: lambda texts: [[len(common.exact_shingles(t)) for t in texts]])
+    assert out.agg(F.sum("n")).first()[0] == 400 * 57
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._words)] * b.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_texts_come_in_small_runs(spark):
+    docs = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("text "), 200).alias("text"))
+    fields = [T.StructField("n", T.LongType())]
+    most = common.map_text(docs, "text", fields, lambda: lambda texts: [[sum(map(len, texts))] * len(texts)]).agg(F.max("n"), F.count("*")).first()
+    assert most[0] <= 1 << 20 and most[1] == 3000
