@@ -42,6 +42,8 @@ BLOCKS = 128
 SHARD_BYTES = 18 << 20
 # Tokens that a copy mixes at once.
 CHUNK = 1 << 20
+# Products that exp can bear in single precision, with sums over all groups.
+SAFE = 60.0
 # Log-probabilities add up as whole multiples of this, so sums do not depend on their order.
 GRAIN = 2.0**-24
 
@@ -138,7 +140,7 @@ class WindowModel:
             first.append(first[-1] + n)
         return np.concatenate(out), np.array(first)
 
-    def score(self, texts: list[str | None], block: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: list[str | None], block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Summed conditional log-probability and number of tokens of each text.
 
         Products always have the same shape, so a token's terms do not depend on what else is scored with it.
@@ -166,15 +168,29 @@ def contexts(tokens: np.ndarray, first: np.ndarray, border: int = VOCAB, at: np.
     return out
 
 
-def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of each row's target; probabilities times their sum, in the place of z, and that sum."""
-    z -= z.max(1, keepdims=True)
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, of: np.ndarray | None, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For h @ w.T + bias (or its rows `of`): log-probability of each row's target; probabilities times their sum, and that sum.
+
+    Rows of h lie between -1 and 1, so weights bound the products; where exp can bear these, no row's maximum is needed.
+    """
+    z = _product(h, w)
+    z += bias if of is None else bias[of]
+    if np.abs(w).sum(1).max(initial=0) + np.abs(bias).max(initial=0) > SAFE:
+        z -= z.max(1, keepdims=True)
     picked = z[np.arange(len(z)), target]
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
+    total = np.einsum("ij->i", z)
     return picked - np.log(total), z, total
 
 
+def _product(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """h @ w.T with rows in whole sixteens: few rows would be added up in another order."""
+    n = len(h)
+    if n % 16:
+        h = np.concatenate([h, np.zeros((-n % 16, h.shape[1]), h.dtype)])
+    return (h @ w.T)[:n]
+
+
 def _error(z: np.ndarray, total: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Probabilities less 1 at the target, in the place of z."""
     z /= total[:, None]
@@ -194,20 +210,14 @@ def forward(p: dict, context: np.ndarray, tokens: np.ndarray):
     for c in context[1:]:
         h += p["emb"][c]
     h = np.tanh(h / len(context))
-    z = h @ p["w1"].T
-    z += p["b1"]
-    total, *e1 = _softmax(z, group)
+    total, *e1 = _softmax(h, p["w1"], p["b1"], None, group)
     g = np.tanh(h + p["grp"][group])
-    z = g @ p["w2"].T
-    z += p["b2"][group]
-    l2, *e2 = _softmax(z, place)
+    l2, *e2 = _softmax(g, p["w2"], p["b2"], group, place)
     total += l2
     f, e3 = None, None
     if len(sub):
         f = np.tanh(h[sub] + p["slot"][slot])
-        z = f @ p["w3"].T
-        z += p["b3"][slot]
-        l3, *e3 = _softmax(z, member)
+        l3, *e3 = _softmax(f, p["w3"], p["b3"], slot, member)
         total[sub] += l3
     return total, h, g, f, (e1, group), (e2, place), (e3, member), sub, slot
 

@@ -79,3 +79,27 @@ def test_lm_depends_on_the_table_alone(spark, monkeypatch):
     assert (a.flat == b.flat).all() and (a.words == b.words).all()
     together, alone = a.score([t for _, t in rows])[0], [a.score([t])[0][0] for _, t in rows]
     assert together.tolist() == alone
+
+
+def test_one_rare_word_scores_as_among_others():
+    """A product of one row adds up in another order than one of many."""
+    shape = lm_scoring.shape_for(3000)
+    words = [f"v{k}".encode() for k in range(3000)]
+    keys = lm_scoring.hash_words(words)
+    order = np.argsort(keys)
+    model = lm_scoring.WindowModel(keys[order], order.astype(np.int64), lm_scoring.start_weights(shape=shape), shape)
+    texts = [f"v1 v2 v{2000 + k} v3" for k in range(900)]
+    assert model.score(texts)[0].tolist() == [float(model.score([t])[0][0]) for t in texts]
+
+
+def test_probabilities_of_large_products():
+    """Without each row's maximum where exp bears the products, with it where it does not: the same probabilities."""
+    rng = np.random.RandomState(2)
+    h = np.tanh(rng.normal(size=(50, 16))).astype(np.float32)
+    target = rng.randint(0, 32, 50)
+    for scale in (0.1, 3, 400):
+        w, bias = (rng.normal(0, scale, s).astype(np.float32) for s in ((32, 16), 32))
+        z = h.astype(float) @ w.T + bias
+        z -= z.max(1, keepdims=True)
+        want = z[np.arange(50), target] - np.log(np.exp(z).sum(1))
+        assert np.allclose(lm_scoring._softmax(h, w, bias, None, target)[0], want, rtol=1e-4, atol=1e-4)
