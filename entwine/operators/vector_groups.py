@@ -85,6 +85,15 @@ def _unpacked(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
 
 
+def _packed(hops: list[np.ndarray]) -> list[tuple[tuple[int, ...], bytes]]:
+    """Bits as they travel, compressed: driver and executors each keep a copy of a broadcast on disk."""
+    return [(h.shape, pa.compress(np.ascontiguousarray(h), codec="zstd", asbytes=True)) for h in hops]
+
+
+def _whole(packed: list[tuple[tuple[int, ...], bytes]]) -> list[np.ndarray]:
+    return [np.frombuffer(pa.decompress(data, 8 * shape[0] * shape[1], codec="zstd"), np.uint64).reshape(shape) for shape, data in packed]
+
+
 def _seen(hops: list[np.ndarray], at: int, without_seed: bool) -> np.ndarray:
     """The bits of a row that hops before the next have reached."""
     out = np.zeros_like(hops[0][at])
@@ -122,24 +131,24 @@ def walk(seeds: DataFrame, edges: VectorEdges, least: list[float], without_seed:
         mine = places[first : first + step]
         hops: list[np.ndarray] = []
         for h in range(1, len(least)):
-            shared = context.broadcast((mine, hops))
+            shared = context.broadcast((mine, _packed(hops)))
             got = blocks.mapInArrow(_spread(vectors, shared, rows, least[h - 1], without_seed), "row long, bits binary").toArrow()
             shared.destroy()
             after = np.zeros((n, -(-len(mine) // 64)), np.uint64)
             if got.num_rows:
                 after[got.column("row").to_numpy()] = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint64).reshape(got.num_rows, -1)
             hops.append(after)
-        members = blocks.mapInArrow(_members(vectors, context.broadcast((names[first : first + step], mine, hops)), rows, least, without_seed), schema)
+        members = blocks.mapInArrow(_members(vectors, context.broadcast((names[first : first + step], mine, _packed(hops))), rows, least, without_seed), schema)
         out = members if out is None else out.unionByName(members)
     return out
 
 
-def _with_seeds(n: int, places: np.ndarray, hops: list[np.ndarray]) -> list[np.ndarray]:
+def _with_seeds(n: int, places: np.ndarray, packed: list[tuple[tuple[int, ...], bytes]]) -> list[np.ndarray]:
     """The bits of all hops, those of the seeds' own places first."""
     g = np.arange(len(places))
     bits = np.zeros((n, -(-len(places) // 64)), np.uint64)
     bits[places, g >> 6] |= np.uint64(1) << (g & 63).astype(np.uint64)
-    return [bits, *hops]
+    return [bits, *_whole(packed)]
 
 
 def _spread(vectors, shared, rows: int, least: float, without_seed: bool):
@@ -181,6 +190,8 @@ def _members(vectors, shared, rows: int, least: list[float], without_seed: bool)
                         wanted = hops[h + 1][i] if h + 1 < len(hops) else every & ~_seen(hops, i, without_seed)
                         use = some[h][near] & (cos >= least[h])
                         group, score = _first_hits(bits, near[use], cos[use], wanted & ~hops[0][i])
+                        order = np.argsort(score, kind="stable")  # few best neighbours serve many groups: equal scores in a row take little room
+                        group, score = group[order], score[order]
                         found.append((group, np.full(len(group), i), score, np.full(len(group), h + 1, np.int32)))
                 group, row, score, hop = (np.concatenate(x) for x in zip(*found))
                 for s in range(0, len(group), 100_000):
