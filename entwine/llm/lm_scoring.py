@@ -143,14 +143,14 @@ class WindowModel:
     def score(self, texts: list[str | None], block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Summed conditional log-probability and number of tokens of each text.
 
-        Products always have the same shape, so a token's terms do not depend on what else is scored with it.
+        Products are exact, so a token's terms do not depend on what else is scored with it, nor on the processor's kernels.
         """
         tokens, first = self.tokens(texts)
         p = unpack(self.flat, self.shape)
         sums = np.zeros(len(tokens) + 1, np.int64)
         for s in range(0, len(tokens), block):
             at = np.minimum(np.arange(s, s + block), len(tokens) - 1)
-            grains = np.rint(forward(p, contexts(tokens, first, self.shape.vocab, at), tokens[at])[0] / GRAIN).astype(np.int64)
+            grains = np.rint(forward(p, contexts(tokens, first, self.shape.vocab, at), tokens[at], _exact)[0] / GRAIN).astype(np.int64)
             sums[s + 1 : s + 1 + block] = grains[: len(tokens) - s]
         np.cumsum(sums, out=sums)
         return (sums[first[1:]] - sums[first[:-1]]) * GRAIN, np.diff(first)
@@ -168,12 +168,12 @@ def contexts(tokens: np.ndarray, first: np.ndarray, border: int = VOCAB, at: np.
     return out
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, of: np.ndarray | None, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, of: np.ndarray | None, target: np.ndarray, product=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For h @ w.T + bias (or its rows `of`): log-probability of each row's target; probabilities times their sum, and that sum.
 
     Rows of h lie between -1 and 1, so weights bound the products; where exp can bear these, no row's maximum is needed.
     """
-    z = _product(h, w)
+    z = (product or _product)(h, w)
     z += bias if of is None else bias[of]
     if np.abs(w).sum(1).max(initial=0) + np.abs(bias).max(initial=0) > SAFE:
         z -= z.max(1, keepdims=True)
@@ -191,6 +191,14 @@ def _product(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (h @ w.T)[:n]
 
 
+def _exact(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """h @ w.T of factors rounded to whole numbers whose sums of products all fit in a double: the same in any order of adding."""
+    most = np.abs(w).sum(1, dtype=np.float64).max(initial=1)
+    scale = 2.0 ** (31 - np.ceil(np.log2(most)))
+    z = np.rint(h * np.float32(1 << 20)).astype(np.float64) @ np.rint(w.astype(np.float64) * scale).T
+    return (z / (scale * (1 << 20))).astype(np.float32)
+
+
 def _error(z: np.ndarray, total: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Probabilities less 1 at the target, in the place of z."""
     z /= total[:, None]
@@ -198,7 +206,7 @@ def _error(z: np.ndarray, total: np.ndarray, target: np.ndarray) -> np.ndarray:
     return z
 
 
-def forward(p: dict, context: np.ndarray, tokens: np.ndarray):
+def forward(p: dict, context: np.ndarray, tokens: np.ndarray, product=None):
     groups = len(p["w1"])
     own = groups * groups - len(p["slot"])  # tokens with a place of their own
     sub = np.flatnonzero(tokens >= own)
@@ -210,14 +218,14 @@ def forward(p: dict, context: np.ndarray, tokens: np.ndarray):
     for c in context[1:]:
         h += p["emb"][c]
     h = np.tanh(h / len(context))
-    total, *e1 = _softmax(h, p["w1"], p["b1"], None, group)
+    total, *e1 = _softmax(h, p["w1"], p["b1"], None, group, product)
     g = np.tanh(h + p["grp"][group])
-    l2, *e2 = _softmax(g, p["w2"], p["b2"], group, place)
+    l2, *e2 = _softmax(g, p["w2"], p["b2"], group, place, product)
     total += l2
     f, e3 = None, None
     if len(sub):
         f = np.tanh(h[sub] + p["slot"][slot])
-        l3, *e3 = _softmax(f, p["w3"], p["b3"], slot, member)
+        l3, *e3 = _softmax(f, p["w3"], p["b3"], slot, member, product)
         total[sub] += l3
     return total, h, g, f, (e1, group), (e2, place), (e3, member), sub, slot
 
