@@ -1,12 +1,14 @@
-"""Scores of the LM scorer that depend on no other text, whatever the processor."""
+"""Words of the LM scorer, hashed run by run, and scores that depend on no other text, whatever the processor."""
 
 import os
+import random
 import subprocess
 import sys
 
 import numpy as np
 
 from entwine.llm import lm_scoring as L
+from entwine.llm.common import encoded
 
 ALONE = """
 import numpy as np
@@ -37,3 +39,20 @@ def test_exact_products():
         assert np.allclose(L._exact(h, w), h.astype(float) @ w.T, rtol=1e-5, atol=2e-5 * scale)
         shuffled = rng.permutation(16)
         assert (L._exact(h, w) == L._exact(h[:, shuffled], w[:, shuffled])).all()
+
+
+def test_words_as_split(monkeypatch):
+    """The same words, by number, equality and ending, as bytes.lower().split() gives, wherever runs end."""
+    rng = random.Random(3)
+    some = ["", " ", "Ab", "ab", "é", "É", "x\x1cy", " ", "　", "\x00", "語", "a" * 90, "b" * 700, "b" * 701]
+    texts = [None, "", " \t\n"] + ["".join(rng.choice(some) + rng.choice([" ", "\n", "\r\n", "\x0b\x0c", ""]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    for size in (1 << 18, 256):  # the second cuts inside of texts and has words too long for a run
+        monkeypatch.setattr(L, "PIECE", size)
+        want = [encoded(t).lower().split() for t in texts]
+        got = [np.concatenate(x) for x in zip(*L.hashed([encoded(t) for t in texts]))]
+        assert got[0].tolist() == [k for k, words in enumerate(want) for _ in words]
+        flat = [w for words in want for w in words]
+        assert len(set(flat)) == len(set(got[1].tolist())) == len(set(zip(flat, got[1].tolist())))
+        ends = [w[-3:] for w in flat]
+        assert len(set(ends)) == len(set(got[2].tolist())) == len(set(zip(ends, got[2].tolist())))
+        assert (L.hash_words(flat) == got[1]).all()
