@@ -3,24 +3,30 @@
 A join of each group's frontier with the edges makes a row for each path, and the paths outnumber the members by far.
 Here a hop takes rows in blocks, computes the edges of a block and combines the bits of its neighbours, so what travels
 between hops is a bit for each row and group. A last pass reads the score of each member off its best neighbour and hands
-members on as they come; nothing is shuffled or written.
+members on as they come; nothing is shuffled. Vectors and bits are written once, in pieces, and come to the tasks as rows of
+a broadcast join, which stay in memory: a broadcast of Python's leaves a file with the driver and with each executor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import drop_staged, staged
 from .search import CELLS, _unit, _vectors, similar
 
 VECTOR_BYTES = 512 << 20  # vectors that each task can hold; with more, groups go by joins
 BIT_BYTES = 64 << 20  # bits of a hop that each task can hold; with more groups, several blocks of groups
+PIECE = 1 << 18  # bytes of a row of a join, few enough to share a region of the heap
+PIECES = range(4 * PIECE, 48 << 20)  # bytes of a value that go by a join; more go by a broadcast, as the driver's heap holds a join's rows more than once
 
 
 @dataclass(frozen=True)
@@ -86,7 +92,7 @@ def _unpacked(words: np.ndarray) -> np.ndarray:
 
 
 def _packed(hops: list[np.ndarray]) -> list[tuple[tuple[int, ...], bytes]]:
-    """Bits as they travel, compressed: driver and executors each keep a copy of a broadcast on disk."""
+    """Bits as they travel, compressed: driver and executors each keep a copy."""
     return [(h.shape, pa.compress(np.ascontiguousarray(h), codec="zstd", asbytes=True)) for h in hops]
 
 
@@ -94,6 +100,50 @@ def _whole(packed: list[tuple[tuple[int, ...], bytes]]) -> list[np.ndarray]:
     return [np.frombuffer(pa.decompress(data, 8 * shape[0] * shape[1], codec="zstd"), np.uint64).reshape(shape) for shape, data in packed]
 
 
+class _Handed:
+    """A value of about some bytes for all tasks, in pieces or as a broadcast of Python's."""
+
+    def __init__(self, spark: SparkSession, value: tuple, size: int):
+        self.pieces = self.broadcast = None
+        if size not in PIECES:
+            self.broadcast = spark.sparkContext.broadcast(value)
+            return
+        data = pickle.dumps(value, protocol=5)
+        pieces = [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
+        self.pieces = staged(spark.createDataFrame(pa.table({"piece": pa.array(range(len(pieces)), pa.int64()), "data": pa.array(pieces, pa.binary())})), "group_pieces")
+
+    def destroy(self) -> None:
+        if self.broadcast is not None:
+            self.broadcast.destroy()
+        else:
+            drop_staged(self.pieces)
+
+
+def _over(spark: SparkSession, blocks: int, handed: list[_Handed], run: Callable, schema: str) -> DataFrame:
+    """The batches of run(values, blocks) over all blocks, of which each task takes a range."""
+    tasks = min(blocks, 8 * spark.sparkContext.defaultParallelism)
+    rows = spark.range(0, tasks, 1, tasks)
+    pieces = [h.pieces.withColumn("value", F.lit(k)) for k, h in enumerate(handed) if h.pieces is not None]
+    if pieces:
+        rows = rows.crossJoin(F.broadcast(reduce(DataFrame.unionByName, pieces)))
+    broadcasts = [h.broadcast for h in handed]
+
+    def each(batches):
+        mine, parts = set(), [{} for _ in broadcasts]
+        for b in batches:
+            mine.update(b.column(0).to_pylist())
+            for piece, data, k in zip(*(c.to_pylist() for c in b.columns[1:])):
+                parts[k][piece] = data
+        if mine:
+            values = []
+            for shared, part in zip(broadcasts, parts):
+                values.append(shared.value if shared is not None else pickle.loads(b"".join(part.pop(k) for k in sorted(part))))
+            for task in sorted(mine):
+                yield from run(values, range(task * blocks // tasks, (task + 1) * blocks // tasks))
+
+    return rows.mapInArrow(each, schema)
+
+
 def _seen(hops: list[np.ndarray], at: int, without_seed: bool) -> np.ndarray:
     """The bits of a row that hops before the next have reached."""
     out = np.zeros_like(hops[0][at])
@@ -114,7 +164,6 @@ def walk(seeds: DataFrame, edges: VectorEdges, least: list[float], without_seed:
         return None
     ids, x = held
     spark, n = edges.rows.sparkSession, len(ids)
-    context = spark.sparkContext
     names = pc.unique(pa.concat_arrays(seeds.select("id").toArrow().column(0).chunks or [pa.array([], ids.type)]))
     places = pc.index_in(names.cast(ids.type), value_set=ids)
     names, places = names.filter(places.is_valid()), places.drop_null().to_numpy()
@@ -123,26 +172,32 @@ def walk(seeds: DataFrame, edges: VectorEdges, least: list[float], without_seed:
         return spark.createDataFrame([], schema)
     least = [max(x, edges.least) for x in least]
     rows = max(1, CELLS // n)
-    blocks = spark.range(0, -(-n // rows), 1, max(1, min(-(-n // rows), 8 * context.defaultParallelism)))
-    vectors = context.broadcast((ids, x))
+    blocks = -(-n // rows)
+    vectors = _Handed(spark, (ids, x), ids.nbytes + x.nbytes)
     out = None
     step = max(64, BIT_BYTES * 8 // n // 64 * 64)
     for first in range(0, len(places), step):
         mine = places[first : first + step]
         hops: list[np.ndarray] = []
         for h in range(1, len(least)):
-            shared = context.broadcast((mine, _packed(hops)))
-            got = blocks.mapInArrow(_spread(vectors, shared, rows, least[h - 1], without_seed), "row long, bits binary").toArrow()
+            shared = _handed_bits(spark, (mine,), hops)
+            got = _over(spark, blocks, [vectors, shared], _spread(rows, least[h - 1], without_seed), "row long, bits binary").toArrow()
             shared.destroy()
             after = np.zeros((n, -(-len(mine) // 64)), np.uint64)
             if got.num_rows:
                 after[got.column("row").to_numpy()] = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint64).reshape(got.num_rows, -1)
             hops.append(after)
-        members = blocks.mapInArrow(_members(vectors, context.broadcast((names[first : first + step], mine, _packed(hops))), rows, least, without_seed), schema)
+        shared = _handed_bits(spark, (names[first : first + step], mine), hops)
+        members = _over(spark, blocks, [vectors, shared], _members(rows, least, without_seed), schema)
         out = members if out is None else out.unionByName(members)
     return out
 
 
+def _handed_bits(spark: SparkSession, groups: tuple, hops: list[np.ndarray]) -> _Handed:
+    packed = _packed(hops)
+    return _Handed(spark, (*groups, packed), sum(len(data) for _, data in packed))
+
+
 def _with_seeds(n: int, places: np.ndarray, packed: list[tuple[tuple[int, ...], bytes]]) -> list[np.ndarray]:
     """The bits of all hops, those of the seeds' own places first."""
     g = np.arange(len(places))
@@ -151,51 +206,50 @@ def _with_seeds(n: int, places: np.ndarray, packed: list[tuple[tuple[int, ...],
     return [bits, *_whole(packed)]
 
 
-def _spread(vectors, shared, rows: int, least: float, without_seed: bool):
+def _spread(rows: int, least: float, without_seed: bool):
     """The bits that the next hop reaches first, for the rows of some blocks."""
 
-    def run(batches):
-        unit = _unit(vectors.value[1].astype(np.float64))
-        hops = _with_seeds(len(unit), *shared.value)
+    def run(values, blocks):
+        (_, x), shared_hops = values
+        unit = _unit(x.astype(np.float64))
+        hops = _with_seeds(len(unit), *shared_hops)
         last = hops[-1]
         among = np.flatnonzero(last.any(1))
-        for b in batches:
-            for block in b.column(0).to_pylist():
-                at, bits = [], []
-                for i, near, _ in _neighbours(unit, block * rows, min(len(unit), (block + 1) * rows), among, least):
-                    new = np.bitwise_or.reduce(last[near], axis=0) & ~_seen(hops, i, without_seed)
-                    if new.any():
-                        at.append(i)
-                        bits.append(new.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits, pa.binary())], names=["row", "bits"])
+        for block in blocks:
+            at, bits = [], []
+            for i, near, _ in _neighbours(unit, block * rows, min(len(unit), (block + 1) * rows), among, least):
+                new = np.bitwise_or.reduce(last[near], axis=0) & ~_seen(hops, i, without_seed)
+                if new.any():
+                    at.append(i)
+                    bits.append(new.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits, pa.binary())], names=["row", "bits"])
 
     return run
 
 
-def _members(vectors, shared, rows: int, least: list[float], without_seed: bool):
+def _members(rows: int, least: list[float], without_seed: bool):
     """The members of all groups among the rows of some blocks."""
 
-    def run(batches):
-        (ids, x), (names, *shared_hops) = vectors.value, shared.value
+    def run(values, blocks):
+        (ids, x), (names, *shared_hops) = values
         unit = _unit(x.astype(np.float64))
         hops = _with_seeds(len(unit), *shared_hops)
         some = [h.any(1) for h in hops]
         among = np.flatnonzero(np.any(some, axis=0))
         every = np.packbits(np.arange(64 * hops[0].shape[1]) < len(names), bitorder="little").view(np.uint64)
-        for b in batches:
-            for block in b.column(0).to_pylist():
-                found = []
-                for i, near, cos in _neighbours(unit, block * rows, min(len(unit), (block + 1) * rows), among, min(least)):
-                    for h, bits in enumerate(hops):
-                        wanted = hops[h + 1][i] if h + 1 < len(hops) else every & ~_seen(hops, i, without_seed)
-                        use = some[h][near] & (cos >= least[h])
-                        group, score = _first_hits(bits, near[use], cos[use], wanted & ~hops[0][i])
-                        order = np.argsort(score, kind="stable")  # few best neighbours serve many groups: equal scores in a row take little room
-                        group, score = group[order], score[order]
-                        found.append((group, np.full(len(group), i), score, np.full(len(group), h + 1, np.int32)))
-                group, row, score, hop = (np.concatenate(x) for x in zip(*found))
-                for s in range(0, len(group), 100_000):
-                    part = slice(s, s + 100_000)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(group[part])), ids.take(pa.array(row[part])), pa.array(score[part]), pa.array(hop[part])], names=["group_id", "id", "score", "hop_distance"])
+        for block in blocks:
+            found = []
+            for i, near, cos in _neighbours(unit, block * rows, min(len(unit), (block + 1) * rows), among, min(least)):
+                for h, bits in enumerate(hops):
+                    wanted = hops[h + 1][i] if h + 1 < len(hops) else every & ~_seen(hops, i, without_seed)
+                    use = some[h][near] & (cos >= least[h])
+                    group, score = _first_hits(bits, near[use], cos[use], wanted & ~hops[0][i])
+                    order = np.argsort(score, kind="stable")  # few best neighbours serve many groups: equal scores in a row take little room
+                    group, score = group[order], score[order]
+                    found.append((group, np.full(len(group), i), score, np.full(len(group), h + 1, np.int32)))
+            group, row, score, hop = (np.concatenate(x) for x in zip(*found))
+            for s in range(0, len(group), 100_000):
+                part = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(group[part])), ids.take(pa.array(row[part])), pa.array(score[part]), pa.array(hop[part])], names=["group_id", "id", "score", "hop_distance"])
 
     return run
